@@ -7,28 +7,39 @@ first m - ceil(2 p m / (100 + p)) + l of the smaller one; each node picks the le
 cost least, so a prefix that runs into frequent shingles is lengthened and more matches are required of it.
 
 Links inside a group of near copies grow with the square of the group, so they are not listed. A first round
-verifies one star edge for each node, to the smallest node that shares most of its prefix; later only pairs
+verifies one star edge for each node, to the hub that shares most of its prefix: the node of a shingle's list whose
+shingles are most often frequent ones, so the likeliest centre of a group of near copies; later only pairs
 whose ends are still in different groups are generated and verified, all of them. The components are exact.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import discard, ship, stored, text_or_empty
-from lakequill.llm.components import components, flatten
+from lakequill.llm.components import components
 
-#: Counters of the frequency sketch: 2**SKETCH_BITS of four bytes, whatever the size of the corpus.
-SKETCH_BITS, SLICES = 22, 64
+#: Counters of the frequency sketch: 2**SKETCH_BITS of two bytes where it is used, whatever the size of the corpus.
+SKETCH_BITS, SLICES = 24, 64
 #: Highest level that a node may choose.
 MAX_LEVEL = 3
 BLOOM_BITS = 26
 
 
+def _squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _ceil(a, b):
     return -(-a // b)
 
@@ -61,7 +72,7 @@ def _nodes(width: int, seed: int):
             none = [None] * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "k", "k2", "slice", "counts"])
         if any_row:
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
+            parts = [_squeeze(x.tobytes()) for x in np.split(sketch, SLICES)]
             none = [None] * SLICES
             yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "k", "k2", "slice", "counts"])
 
@@ -75,10 +86,10 @@ def _sum_slices(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, b in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            x = np.frombuffer(zlib.decompress(b), np.uint32).astype(np.uint64)
+            x = np.frombuffer(_expand(b), np.uint32).astype(np.int64)
             total[s] = total[s] + x if s in total else x
     if total:
-        packed = [zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in total.values()]
+        packed = [_squeeze(np.minimum(x, 2**16 - 1).astype(np.uint16).tobytes()) for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
 
@@ -103,11 +114,11 @@ def _prefixes(width: int, seed: int, pct: int, sketch):
 
         from lakequill.llm.shingles import set_signature
 
-        counts = np.frombuffer(zlib.decompress(sketch.value), np.uint32)
+        counts = np.frombuffer(_expand(sketch.value), np.uint16)
         noise = int(counts.sum(dtype=np.uint64)) >> SKETCH_BITS
         shift, seen = np.uint64(64 - SKETCH_BITS), set()
         for batch in batches:
-            token, node, rest = [], [], []
+            token, node, rest, hub = [], [], [], []
             for x in _read(batch, width, seed):
                 n = len(x)
                 if not n:
@@ -127,9 +138,10 @@ def _prefixes(width: int, seed: int, pct: int, sketch):
                 order = order[:size]
                 token.append(x[order])
                 node.append(np.full(size, k, np.int64))
+                hub.append(np.full(size, 1000 - int(1000 * (rank > 0).mean()), np.int32))
                 rest.append((np.int64(n) << 33) | (np.arange(size, dtype=np.int64) << 2) | level)
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(rest))], names=["token", "k", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(rest)), pa.array(np.concatenate(hub))], names=["token", "k", "rest", "hub"])
 
     return run
 
@@ -148,11 +160,11 @@ def _sets(width: int, seed: int, bloom):
 
         from lakequill.llm.shingles import set_signature
 
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(bloom.value), np.uint8))
+        bits = np.frombuffer(_expand(bloom.value), np.uint8)
         seen = set()
         for batch in batches:
             i, j = batch.column("b0").to_numpy(zero_copy_only=False), batch.column("b1").to_numpy(zero_copy_only=False)
-            hit = batch.filter(pa.array((bits[i] & bits[j]).astype(bool)))
+            hit = batch.filter(pa.array(((bits[i >> 3] >> (7 - (i & 7))) & (bits[j >> 3] >> (7 - (j & 7))) & 1).astype(bool)))
             keys, sets = [], []
             for x in _read(hit, width, seed) if len(hit) else ():
                 k, _ = set_signature(x)
@@ -175,7 +187,7 @@ def _bloom_slices(batches):
         for c in ("b0", "b1"):
             bits[batch.column(c).to_numpy(zero_copy_only=False)] = True
     if bits.any():
-        parts = [zlib.compress(np.packbits(x).tobytes(), 1) for x in np.split(bits, SLICES)]
+        parts = [_squeeze(np.packbits(x).tobytes()) for x in np.split(bits, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
 
@@ -185,10 +197,10 @@ def _or_slices(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, b in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            x = np.frombuffer(zlib.decompress(b), np.uint8)
+            x = np.frombuffer(_expand(b), np.uint8)
             total[s] = total[s] | x if s in total else x
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_squeeze(x.tobytes()) for x in total.values()], pa.binary())], names=["slice", "counts"])
 
 
 def _gather(slices: DataFrame, merge, dtype, size: int) -> bytes:
@@ -196,8 +208,8 @@ def _gather(slices: DataFrame, merge, dtype, size: int) -> bytes:
     merged = slices.repartition(SLICES, "slice").mapInArrow(merge, "slice int, counts binary")
     out = np.zeros((SLICES, size // SLICES), dtype)
     for r in merged.collect():
-        out[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), dtype)
-    return zlib.compress(out.tobytes(), 1)
+        out[r.slice] = np.frombuffer(_expand(bytes(r.counts)), dtype)
+    return _squeeze(out.tobytes())
 
 
 def _check_pairs(pct: int):
@@ -269,23 +281,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             break
         seed += 1  # two different sets met in one key
         discard(found, classes)
-    counts = _gather(found.where("slice is not null").select("slice", "counts"), _sum_slices, np.uint32, 1 << SKETCH_BITS)
+    counts = _gather(found.where("slice is not null").select("slice", "counts"), _sum_slices, np.uint16, 1 << SKETCH_BITS)
     sketch = spark.sparkContext.broadcast(counts)
 
-    prefix = docs.select("text").mapInArrow(_prefixes(width, seed, pct, sketch), "token long, k long, rest long")
+    prefix = docs.select("text").mapInArrow(_prefixes(width, seed, pct, sketch), "token long, k long, rest long, hub int")
     by_token = Window.partitionBy("token")
-    shared = prefix.withColumn("low", F.min("k").over(by_token)).withColumn("high", F.max("k").over(by_token)).where("low <> high")
-    shared = stored(shared.select("token", "k", "low", "rest", F.shiftrightunsigned("rest", 33).alias("n")), "prefixes")
+    shared = prefix.withColumn("lo", F.min("k").over(by_token)).withColumn("hi", F.max("k").over(by_token)).withColumn("center", F.min(F.struct("hub", "k")).over(by_token)["k"]).where("lo <> hi")
+    shared = stored(shared.select("token", "k", "hub", "center", "rest", F.shiftrightunsigned("rest", 33).alias("n")), "prefixes")
     verify = _Verifier(docs, classes, width, seed, pct)
 
-    low = shared.where("k <> low").groupBy("k", "low").agg(F.count("*").alias("hits"))
-    star = low.groupBy("k").agg(F.max(F.struct("hits", -F.col("low"))).alias("best")).select("k", (-F.col("best.col2")).alias("low"))
+    near = shared.where("k <> center").groupBy("k", "center").agg(F.count("*").alias("hits"))
+    star = near.groupBy("k").agg(F.max(F.struct("hits", "center")).alias("best")).select("k", F.col("best.center").alias("low"))
     sized = classes.select("k", "n")
     star = star.join(sized, "k").join(sized.select(F.col("k").alias("low"), F.col("n").alias("m")), "low").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * pct)
     stars = verify.links(stored(star.select(F.col("k").alias("a"), F.col("low").alias("b")), "stars"), "links")
-    roots = flatten(stars, "a", "b")
+    roots = components(stars, "a", "b")
 
-    tagged = shared.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", "n", "rest", F.coalesce("root", "k").alias("g")).distinct()
+    tagged = shared.join(roots.select(F.col("node").alias("k"), F.col("component").alias("root")), "k", "left").select("token", "k", "n", "rest", F.coalesce("root", "k").alias("g")).distinct()
     tagged = tagged.withColumn("g0", F.min("g").over(by_token)).withColumn("g1", F.max("g").over(by_token)).where("g0 <> g1")
     position = F.shiftright(F.col("rest").bitwiseAND((1 << 33) - 1), 2)
     tagged = stored(tagged.select("token", "k", "n", "g", position.alias("p"), F.col("rest").bitwiseAND(3).alias("l")), "tagged")
@@ -310,7 +322,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     more = verify.links(stored(pairs.select("a", "b"), "pairs"), "links")
 
-    merged = components(stars.unionAll(more), "a", "b")
+    merged = components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
     known = classes.select("k", "first_id").join(merged.withColumnRenamed("node", "k"), "k", "left").select("k", "first_id", F.coalesce("component", "k").alias("component"))
     lowest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_class = known.join(lowest, "component").select("k", "component_id")
