@@ -5,28 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = Path(__file__).resolve().parents[2]
-_SHIPPED: set[str] = set()
-_OWN: list[str] = []
-
+from lakequill.runtime import ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    out = Path(tempfile.mkdtemp(prefix="lakequill-")) / "lakequill_pkg.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted((_ROOT / "lakequill").rglob("*.py")):
-            z.write(p, p.relative_to(_ROOT))
-    sc.addPyFile(str(out))
-    _SHIPPED.add(sc.applicationId)
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
