@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import discard, ship, stored
+from lakequill.llm.common import ship, stored
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, hashing: Hashing = Hashin
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_search(dim, k), "query_id long, vec_id long, score double")
     found = stored(_top(found.distinct(), k), "ann-found")
     full = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = good.where(is_query).join(full, F.col("id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "v")
+    short = stored(good.where(is_query).join(full, F.col("id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "v"), "ann-short")
     n_short = short.count()
     if n_short:
         parts = max(1, math.ceil(n_short / hashing.block))
