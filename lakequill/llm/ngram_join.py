@@ -300,7 +300,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tagged = shared.join(roots.select(F.col("node").alias("k"), F.col("component").alias("root")), "k", "left").select("token", "k", "n", "rest", F.coalesce("root", "k").alias("g")).distinct()
     tagged = tagged.withColumn("g0", F.min("g").over(by_token)).withColumn("g1", F.max("g").over(by_token)).where("g0 <> g1")
     position = F.shiftright(F.col("rest").bitwiseAND((1 << 33) - 1), 2)
-    tagged = stored(tagged.select("token", "k", "n", "g", position.alias("p"), F.col("rest").bitwiseAND(3).alias("l")), "tagged")
+    # r: prefix shingles before this one that another group holds too; no other can be shared across groups
+    before = F.row_number().over(Window.partitionBy("k").orderBy("p")) - 1
+    tagged = stored(tagged.select("token", "k", "n", "g", position.alias("p"), F.col("rest").bitwiseAND(3).alias("l")).withColumn("r", before), "tagged")
     need_probe = F.ceil(pct * F.col("x.n") / 100)
     x, y = tagged.alias("x"), tagged.alias("y")
     need_index = F.ceil(2 * pct * F.col("y.n") / (100 + pct))
@@ -312,7 +314,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.k") > F.col("y.k"))))
         & (F.col("y.n") * 100 >= F.col("x.n") * pct)
         & (F.col("x.p") < F.col("x.n") - need_probe + F.col("x.l")) & (F.col("y.p") < F.col("y.n") - need_index + F.col("x.l"))
-        & (F.least("x.p", "y.p") + left_over >= overlap),
+        & (F.least("x.r", "y.r") + left_over >= overlap),
     )
     first = 1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1)
     pairs = (
