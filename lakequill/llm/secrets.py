@@ -26,6 +26,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:[\r\n]+[A-Za-z0-9+/_-]+)*={0,2}")
+KEY_START = re.compile(r"(?:(?<=[\r\n])|\A)(?:M|b3BlbnNzaC1rZXkt)")
 ANY_HEX = re.compile(r"[0-9a-fA-F]{48,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
@@ -120,13 +121,52 @@ def is_token_header(part: str) -> bool:
 
 
 def _decoded(s: str) -> bytes | None:
-    s = re.sub(r"[\r\n]", "", s).rstrip("=").replace("-", "+").replace("_", "/")
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _der_size(s: str) -> int | None:
+    """Bytes of the DER item that base64 text s begins with, by its header."""
+    b = _decoded(s[:8])
+    if b is None or len(b) < 6 or b[0] != 0x30:
+        return None
+    if b[1] < 0x80:
+        return 2 + b[1]
+    k = b[1] & 0x7F
+    return 2 + k + int.from_bytes(b[2 : 2 + k], "big") if 1 <= k <= 4 else None
+
+
+def _key_at(run: str) -> tuple[int, str] | None:
+    """(length, kind) of the key that starts a run of base64 lines, or None.
+
+    The outer length of a DER key says where it ends, so lines that follow (an end marker, prose) are left out; it
+    has to end where a line or the run does. An OpenSSH key, whose end nothing states, runs to the run's end.
+    """
+    if run.startswith("b3BlbnNzaC1rZXkt"):
+        n = len(run)
+        end = run.find("\n-----END")
+        n = n if end < 0 else len(run[:end].rstrip("\r"))
+        lines = re.sub(r"[\r\n]", "", run[:n])
+        raw = _decoded(lines[: len(lines.rstrip("=")) // 4 * 4])
+        return (n, "ssh_key") if raw and is_ssh_key(raw) else None
+    size = _der_size(run)
+    if not size or size < 32:
+        return None
+    need, n = -(-size * 4 // 3), 0
+    chars = []
+    for line in re.finditer(r"[^\r\n]+", run):
+        chars.append(line[0].rstrip("="))
+        need -= len(chars[-1])
+        n = line.end()
+        if need <= 0:
+            break
+    raw = _decoded("".join(chars)) if need == 0 else None
+    return (n, "der_key") if raw and is_der_key(raw) else None
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding in code points, end exclusive, by start, then kind as listed in KINDS."""
     found = []
@@ -137,15 +177,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_token_header(m[0].partition(".")[0])]
-    if "MI" in text or "MC" in text or "MF" in text or "ME" in text or "MH" in text or "b3BlbnNzaC1rZXkt" in text:  # base64 of 30 8x, 30 2x.. and of the OpenSSH magic
+    if "M" in text or "b3BlbnNzaC1rZXkt" in text:  # base64 of a DER sequence's tag, and of the OpenSSH magic
         for m in BASE64.finditer(text):
-            kind = None
-            for at in (i for k in ("M", "b3BlbnNzaC1rZXkt") if (i := m[0].find(k)) >= 0):
-                raw = _decoded(m[0][at:])
-                kind = raw and ("der_key" if at == 0 and is_der_key(raw) else "ssh_key" if is_ssh_key(raw) else None)
-                if kind:
-                    found.append((m.start() + at, m.end(), kind))
-                    break
+            end = 0
+            for at in KEY_START.finditer(m[0]):
+                key = _key_at(m[0][at.start() :]) if at.start() >= end else None
+                if key:
+                    end = at.start() + key[0]
+                    found.append((m.start() + at.start(), m.start() + end, key[1]))
     if "30" in text:
         found += [(m.start(), m.end(), "der_key") for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))

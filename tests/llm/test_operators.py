@@ -80,6 +80,17 @@ def test_decontamination(spark):
     assert decontam.contamination(frame(spark, rows[:3]), its.limit(0)).where("contaminated").count() == 0
 
 
+def test_key_ends_where_its_length_says():
+    der = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
+    b64 = base64.b64encode(der).decode()  # 64 characters, no padding
+    for sep in ("\n", "\r\n"):
+        for body in (b64, b64[:40] + sep + b64[40:]):
+            for before, after in (("", ""), (f"-----BEGIN PRIVATE KEY-----{sep}", f"{sep}-----END PRIVATE KEY-----"), ("k = ", f"{sep}and words"), (f"averyveryverylongwordthatis{sep}", f"{sep}{b64[:30]}")):
+                text = before + body + after
+                assert [x for x in secrets.scan(text) if x[2] == "der_key"] == [(len(before), len(before) + len(body), "der_key")]
+    assert not [x for x in secrets.scan(b64 + "A") + secrets.scan(b64[:-1]) if x[2] == "der_key"]
+
+
 def test_secrets(spark):
     def der(tag, b):
         n = len(b)
