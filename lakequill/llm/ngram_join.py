@@ -172,9 +172,11 @@ def _sets(width: int, seed: int, bloom):
                     if len(seen) < 1_000_000:
                         seen.add(k)
                     keys.append(k)
-                    sets.append(x.tobytes())
+                    sets.append(x.view(np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["k", "shingles"])
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists.cast(pa.list_(pa.int64()))], names=["k", "shingles"])
 
     return run
 
@@ -212,27 +214,6 @@ def _gather(slices: DataFrame, merge, dtype, size: int) -> bytes:
     return _squeeze(out.tobytes())
 
 
-def _check_pairs(pct: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            x, y = batch.column("sa"), batch.column("sb")
-            keep = []
-            for i in range(len(batch)):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= pct * (len(p) + len(q) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    return run
-
-
 class _Verifier:
     """Exact checks of candidate pairs against the whole shingle sets."""
 
@@ -249,10 +230,12 @@ class _Verifier:
         bloom = spark.sparkContext.broadcast(_gather(marked.mapInArrow(_bloom_slices, "slice int, counts binary"), _or_slices, np.uint8, 1 << (BLOOM_BITS - 3)))
         b0, b1 = _wanted("h")
         read = self.docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).select("text", b0.alias("b0"), b1.alias("b1"))
-        sets = stored(read.mapInArrow(_sets(self.width, self.seed, bloom), "k long, shingles binary").join(keys, "k", "left_semi").dropDuplicates(["k"]), "sets")
+        sets = stored(read.mapInArrow(_sets(self.width, self.seed, bloom), "k long, shingles array<long>").join(keys, "k", "left_semi").dropDuplicates(["k"]), "sets")
         left = sets.select(F.col("k").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
-        out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_check_pairs(self.pct), "a long, b long"), name)
+        both = F.size(F.array_intersect("sa", "sb"))  # one pair in memory at a time; batches of whole sets for Python are not bounded
+        joined = pairs.join(left, "a").join(right, "b").where((100 + self.pct) * both >= self.pct * (F.size("sa") + F.size("sb")))
+        out = stored(joined.select("a", "b"), name)
         discard(sets)
         bloom.unpersist()
         return out
