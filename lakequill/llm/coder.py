@@ -40,6 +40,14 @@ def coder(path: str) -> "Coder":
     return _CODERS[path]
 
 
+def forget() -> None:
+    """Empty the memos of this process's coders; the tokenizers stay."""
+    for c in _CODERS.values():
+        c.chunks.clear()
+        c.pieces.clear()
+        c.missed = 0
+
+
 class Coder:
     def __init__(self, path: str):
         import os

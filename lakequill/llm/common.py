@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
@@ -80,5 +81,20 @@ def put_file(uri: str, data_parts) -> int:
     return n
 
 
+def trim_worker() -> None:
+    """Give back what earlier tasks left in a reused Python worker: encoding memos, Arrow's free segments, free heap pages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    coders = sys.modules.get("lakequill.llm.coder")
+    if coders:
+        coders.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import discard, ship, stored, text_or_empty
+from lakequill.llm.common import discard, ship, stored, text_or_empty, trim_worker
 from lakequill.llm.components import components
 
 #: Counters of the frequency sketch: 2**SKETCH_BITS of two bytes where it is used, whatever the size of the corpus.
@@ -58,6 +58,7 @@ def _nodes(width: int, seed: int):
 
         from lakequill.llm.shingles import set_signature
 
+        trim_worker()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         shift, any_row = np.uint64(64 - SKETCH_BITS), False
         for batch in batches:
@@ -114,6 +115,7 @@ def _prefixes(width: int, seed: int, pct: int, sketch):
 
         from lakequill.llm.shingles import set_signature
 
+        trim_worker()
         counts = np.frombuffer(_expand(sketch.value), np.uint16)
         noise = int(counts.sum(dtype=np.uint64)) >> SKETCH_BITS
         shift, seen = np.uint64(64 - SKETCH_BITS), set()
@@ -160,6 +162,7 @@ def _sets(width: int, seed: int, bloom):
 
         from lakequill.llm.shingles import set_signature
 
+        trim_worker()
         bits = np.frombuffer(_expand(bloom.value), np.uint8)
         seen = set()
         for batch in batches:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import ship, stored, table, text_or_empty
+from lakequill.llm.common import ship, stored, table, text_or_empty, trim_worker
 
 #: Bound of the labelled rows that the model is fitted on, chosen by a hash of their ids, and of the learned lexicon.
 MAX_TRAIN, MAX_LEXICON, FOLDS = 20_000, 20_000, 3
@@ -133,6 +133,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 def _term_counts(batches):
     import pyarrow as pa
 
+    trim_worker()
     out: Counter = Counter()
     docs: Counter = Counter()
 
@@ -283,6 +284,7 @@ def fit(spark, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     def run(batches):
         import pyarrow as pa
 
+        trim_worker()
         lexicons = {f: Lexicon(x) for f, x in shipped.value.items()}
         for batch in batches:
             x, fold = [], batch.column("fold").to_pylist()
@@ -316,6 +318,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         import pyarrow as pa
 
+        trim_worker()
         m = shipped.value
         lexicon = Lexicon(m.lexicon)
         for batch in batches:
