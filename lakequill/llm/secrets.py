@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import ship, text_or_empty
+from lakequill.llm.common import ship, text_or_empty, trim_worker
 
 # The base patterns of the contract; letters of the key words in either case.
 ASSIGN = re.compile(
@@ -197,6 +197,7 @@ def joined(spans) -> str:
 def _run(batches):
     import pyarrow as pa
 
+    trim_worker()
     base = KINDS[:3]
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")}
@@ -227,6 +228,7 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def _redact(batches):
     import pyarrow as pa
 
+    trim_worker()
     for batch in batches:
         out = []
         for text in batch.column("_lq_text").to_pylist():
