@@ -23,7 +23,8 @@ MAX_TRAIN, MAX_LEXICON, FOLDS = 20_000, 20_000, 3
 SEED = frozenset("idiot idiots moron morons stupid loser losers pathetic worthless scum trash disgusting clown dumb fool garbage imbecile jerk idiota estúpido imbécil basura idiote stupide ordure crétin dumm trottel abschaum blöd arschloch".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi vous votre vos ton ta tes tú ti usted ustedes vosotros tus su".split())
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[@$*!0-57]+[^\W\d_]+)+")
+# begins where a letter run does and never gives letters back: linear however long a run is
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[@$*!0-57]++[^\W\d_]++)+")
 _LEET = str.maketrans("@$013457!", "asoleasti")
 _UPPER, _PUNCT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?.,;:*#&%$@\"'()-"
 NEAR = 5
@@ -101,13 +102,13 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             top = max(top, x)
     caps = sum(counts[w] for w in counts.keys() & lexicon.upper)
     masked = 0
-    if "@" in text or "$" in text or "*" in text:
-        for m in _MASKED.findall(text):
-            masked += 1
-            plain = m.lower().translate(_LEET)
-            hidden = plain in SEED or any(len(s) == len(m) and all(a in ("*", b) for a, b in zip(plain, s)) for s in SEED)
-            seeds += hidden
-            hits += hidden
+    for m in _MASKED.findall(text):
+        masked += 1
+        plain = m.lower().translate(_LEET)
+        if plain in SEED or "*" in plain and any(len(s) == len(plain) and all(a in ("*", b) for a, b in zip(plain, s)) for s in SEED):
+            own = marked.get(m)  # masked by digits alone it is a word, which may be counted above
+            seeds += not (own and own[1])
+            hits += not own
     near = 0
     if second and hits:
         last_second = last_hot = -NEAR - 1

@@ -229,6 +229,23 @@ def test_toxicity(spark):
     assert toxicity.isotonic(x, y)[1].tolist() == [0, 0, 0.5, 0.5, 1, 1]
 
 
+@pytest.mark.parametrize("insult", ["id!ot", "stup!d", "l0ser", "m0r0n", "tr@sh", "lo*er"])
+def test_masked_insults(insult):
+    at = {name: i for i, name in enumerate(toxicity.NAMES)}
+    empty = toxicity.Lexicon({})
+    x = toxicity.features(f"w {insult} x and", empty)
+    assert x[at["obfuscated"]] == 1 / len(toxicity._WORD.findall(f"w {insult} x and"))
+    assert x[at["seed_hits"]] == pytest.approx(np.log1p(1)) and x[at["learned_hits"]] == pytest.approx(np.log1p(1))
+    for mark in "@$*":  # an unrelated mark elsewhere changes nothing but punctuation
+        y = toxicity.features(f"w {insult} x and {mark}", empty)
+        assert all(x[at[k]] == y[at[k]] for k in ("seed_hits", "seed_density", "learned_hits", "obfuscated"))
+
+
+def test_masks_in_long_letter_runs():
+    x = toxicity.features("a" * 300_000 + " " + "b1" * 100_000, toxicity.Lexicon({}))
+    assert x[toxicity.NAMES.index("obfuscated")] == 0.5
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
