@@ -69,7 +69,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         joined = tokens.withColumn("word", F.lower("word")).join(F.broadcast(prefix), "word")
     else:
         tokens = words.select("doc_id", "th", F.posexplode("w").alias("pos", "word"))
-        joined = tokens.withColumn("word", F.lower("word")).join(prefix, "word").join(words.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
+        lists = words.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "w")
+        joined = tokens.withColumn("word", F.lower("word")).join(prefix, "word")
+        joined = joined.join(lists, joined.doc_id.eqNullSafe(lists._d) & (joined.th == lists._h))
     begin = F.col("pos") - F.col("at")
     hits = joined.where((begin >= 0) & (begin + F.col("size") <= F.size("w"))).where(lowered(F.slice("w", begin + 1, F.col("size"))) == F.col("win"))
     hits = stored(hits.select("doc_id", "th", begin.alias("s"), (begin + F.col("size")).alias("e"), "win_id").distinct(), "hits")

@@ -80,6 +80,15 @@ def test_decontamination(spark):
     assert decontam.contamination(frame(spark, rows[:3]), its.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_with_shuffled_windows(spark, monkeypatch):
+    rows = corpus() + [(None, corpus()[6][1]), (None, "one two"), (None, "clean"), (3, corpus()[6][1])]
+    its = spark.createDataFrame([(1, rows[6][1]), (2, "one two")], "item_id long, text string")
+    near = sorted(map(repr, decontam.contamination(frame(spark, rows), its).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    far = decontam.contamination(frame(spark, rows), its).collect()
+    assert sorted(map(repr, far)) == near and sum(r.contaminated for r in far if r.doc_id is None) == 2
+
+
 def test_key_ends_where_its_length_says():
     der = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
     b64 = base64.b64encode(der).decode()  # 64 characters, no padding
