@@ -191,6 +191,25 @@ def test_neighbours(spark):
     assert len(few) == 4
 
 
+@pytest.mark.parametrize("kind", ["one", "spread", "scaled"])
+def test_neighbours_whatever_the_norms(spark, kind):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((2000, 64))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    if kind == "one":
+        v[7] *= 5
+    elif kind == "spread":
+        v *= rng.lognormal(0, 0.5, (2000, 1))
+    else:
+        v *= 1e-100
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, "id % 20 = 0").toPandas()
+    unit = v / np.abs(v).max()
+    true = ann.brute_force(np.arange(2000), unit, np.arange(0, 2000, 20))
+    found = got.sort_values("rank").groupby("query_id").vec_id.apply(list)
+    assert np.mean([len(set(found[q]) & set(true[q])) / 20 for q in true]) >= 0.93
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "<p>same"), (5, "http://b", "<p>same"), (3, None, None), (4, "x\r\ny", ""), (6, "u", "é" * 3000), (None, "n", "<p>same")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, sha string")
