@@ -1,6 +1,6 @@
 """A training corpus from documents: toxicity, near duplicates, benchmark passages, secrets, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
+Rows are judged each by its own key, so repeated, shared and null ids are like any others. Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
 columns of documents. ORACLE_SQL is None: scores of a fitted model and best-fit packing aren't SQL; the tests hold
 every stage against a brute-force version of its own.
 """
@@ -16,29 +16,41 @@ from lakequill.llm.queries import tokenizer_path
 ORACLE_SQL = None
 
 
-def _without(docs, rejected):
-    """docs without the rows of rejected (doc_id); rows that have no doc_id stay."""
-    return docs.join(rejected.select(F.col("doc_id").alias("_lq_rejected")).distinct(), F.col("doc_id") == F.col("_lq_rejected"), "left_anti")
+def _keyed(docs):
+    """docs with a key of doc_id and text in _lq_row, never null: rows that share it have one text, so one verdict."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("_lq_row", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), text), 256))
+
+
+def _without(rows, rejected):
+    """rows without those whose keys are in rejected (doc_id, by which the operators call a key)."""
+    bad = rejected.select(F.col("doc_id").alias("_lq_row")).distinct()
+    return rows.join(bad, "_lq_row", "left_anti").drop("_lq_row")
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents that the model predicts as toxic go; fitted on the labels of sf_dir that aren't held out."""
+    """Rows that the model predicts as toxic go; fitted on the labels of sf_dir that aren't held out."""
     model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    bad = stored(toxicity.score(docs, model).where("predicted = 1").select("doc_id"), "toxic")
-    return _without(docs, bad)
+    rows = _keyed(docs)
+    return _without(rows, stored(toxicity.score(rows, model, doc_id="_lq_row").where("predicted = 1").select("doc_id"), "toxic"))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group that near-duplicate links hold together, the document of the smallest doc_id stays."""
-    groups = ngram_join.jaccard_components(docs)
-    bad = stored(groups.where("doc_id <> component_id").select("doc_id"), "copies")
-    return _without(docs, bad)
+    """Of each group that near-duplicate links hold together one row stays: that of the smallest doc_id, null being the largest."""
+    # stored, so that the keys stay what they are; unlike those of other stages they differ for equal rows
+    rows = stored(docs.withColumn("_lq_row", F.monotonically_increasing_id()), "near-duplicates-rows")
+    groups = ngram_join.jaccard_components(rows, doc_id="_lq_row").select(F.col("doc_id").alias("_lq_row"), "component_id")
+    ids = rows.select("_lq_row", F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
+    first = groups.join(ids, "_lq_row").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "h", "_lq_row")).alias("first"))
+    kept = stored(first.select("first._lq_row"), "kept")
+    return rows.join(kept, "_lq_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Documents that hold benchmark passages by the contamination rule go."""
-    judged = decontam.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return _without(docs, judged.where("contaminated").select("doc_id"))
+    """Rows that hold benchmark passages by the contamination rule go."""
+    rows = _keyed(docs)
+    judged = decontam.contamination(rows, table(spark, sf_dir, "benchmark").select("item_id", "text"), doc_id="_lq_row")
+    return _without(rows, stored(judged.where("contaminated").select("doc_id"), "contaminated"))
 
 
 def redact_secrets(spark, docs, sf_dir):

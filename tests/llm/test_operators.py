@@ -283,3 +283,34 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, rows[-2][1][:2000])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert {0, 1, 2, 3, 4, 6, 200} <= kept and not kept & {5, 7, 8, rows[-2][0]}
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+
+    def fresh(n=30):
+        return " ".join(f"u{r.randint(0, 10**9)}" for _ in range(n))
+
+    copy, passage, toxic = fresh(), fresh(), fresh(12) + " you idiot zorgblat moron"
+    rows = [(1, copy)] * 5 + [(2, copy), (None, copy), (None, copy)]  # one of eight stays
+    rows += [(None, "q " + (lone := fresh()))] * 3  # one of three, without any id
+    rows += [(4, passage), (4, fresh()), (None, passage), (None, fresh())]  # contaminated rows go, others of their id stay
+    rows += [(5, toxic), (5, fresh()), (None, toxic + " x")]
+    near = fresh()
+    rows += [(6, near + " y"), (5, near), (None, None), (7, None), (7, "")]
+    extra = [(1000 + i, fresh(r.randint(4, 35)) + (" you idiot zorgblat moron" if i % 4 == 0 else "")) for i in range(300)]
+    labels = [(i, int(t.endswith("moron"))) for i, t in extra]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + extra], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = [(x.doc_id, x.text) for x in docs.collect()]
+    want = [(1, copy), (None, "q " + lone), rows[12], rows[14], rows[16], (5, near), (None, None), (7, None), (7, "")]
+    want += [(i, t) for i, t in extra if not t.endswith("moron")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
