@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from lakequill.runtime import ship  # noqa: F401
 
 _OWN: list[str] = []
+#: Rows up to which a table of a few numbers is broadcast after it has been counted.
+BROADCAST_ROWS = 100_000
+#: Rows of one key that a task of spread_join takes; a key with more is dealt to several.
+HOT = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset (tests), a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master without it (tests), an own one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='lakequill-shared-')}")
         d = _OWN[0]
@@ -52,6 +58,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, rows: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each key; keys that many holds more than HOT times are dealt to several tasks.
+
+    rows: (key, rows), how often many holds each key at most, where that is known. The table of hot keys has at
+    most a row for every HOT rows of many.
+    """
+    counted = many.groupBy(key).agg(F.count("*").alias("rows")) if rows is None else rows
+    hot = stored(counted.where(F.col("rows") > HOT).select(key, F.ceil(F.col("rows") / HOT).cast("long").alias("_s")), "hot-keys")
+    n = hot.count()
+    if not n:
+        return many.join(one, key, how)
+    hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    parts = F.coalesce(F.col("_s"), F.lit(1).cast("long"))
+    left = many.join(hot, key, "left").withColumn("_i", F.pmod(F.xxhash64(*many.columns), parts)).drop("_s")
+    right = one.join(hot, key, "left").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_s")
+    return left.join(right, [key, "_i"], how).drop("_i")
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df to measure; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
