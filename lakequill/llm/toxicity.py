@@ -15,10 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import ship, stored, table, text_or_empty, trim_worker
+from lakequill.llm.common import discard, ship, stored, text_or_empty, trim_worker
 
-#: Bound of the labelled rows that the model is fitted on, chosen by a hash of their ids, and of the learned lexicon.
-MAX_TRAIN, MAX_LEXICON, FOLDS = 20_000, 20_000, 3
+#: Bound of the labelled rows that the model is fitted on, chosen by a hash of their ids, one row for each id.
+MAX_TRAIN, FOLDS = 20_000, 3
 # Common insults that the lexicon begins with, and words of the second person.
 SEED = frozenset("idiot idiots moron morons stupid loser losers pathetic worthless scum trash disgusting clown dumb fool garbage imbecile jerk idiota estúpido imbécil basura idiote stupide ordure crétin dumm trottel abschaum blöd arschloch".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi vous votre vos ton ta tes tú ti usted ustedes vosotros tus su".split())
@@ -154,23 +154,22 @@ def _term_counts(batches):
     yield rows()
 
 
-def lexicon_of(counts: dict, folds) -> dict[str, float]:
-    """Weights (log odds over 1.5, shrunk) of the terms that stand out in toxic rows of these folds. counts: term to {(fold, toxic): rows}."""
-    def of(c, y):
-        return sum(c.get((f, y), 0) for f in folds)
+def lexicon_weight(totals: dict, folds):
+    """Column: the weight (log odds over 1.5, shrunk) of a term that stands out in toxic rows of these folds, else null. Columns cFY: rows of fold F and label Y that hold it; totals: all such rows."""
+    t_all, n_all = (sum(totals[f"c{f}{y}"] or 0 for f in folds) for y in (1, 0))
+    t, n = (sum(F.coalesce(F.col(f"c{f}{y}"), F.lit(0)) for f in folds) for y in (1, 0))
+    x = F.log((t + 0.2) / (t_all + 0.4)) - F.log((n + 0.2) / (n_all + 0.4))
+    usual = (t + n) * (t_all / max(1, t_all + n_all))
+    z = (t - usual) / F.sqrt(F.greatest(F.lit(1e-9), usual))
+    return F.when((t >= 2) & (x > 1.5) & (z > 3.5), F.least(x, F.lit(6.0)) * F.least(F.lit(1.0), t / 4))
 
-    t_all, n_all = of(counts.get("", {}), 1), of(counts.get("", {}), 0)
-    found = {}
-    for term, c in counts.items():
-        t = of(c, 1)
-        if not term or t < 2:
-            continue
-        n = of(c, 0)
-        x = math.log((t + 0.2) / (t_all + 0.4)) - math.log((n + 0.2) / (n_all + 0.4))
-        z = (t - (t + n) * t_all / max(1, t_all + n_all)) / math.sqrt(max(1e-9, (t + n) * t_all / max(1, t_all + n_all)))
-        if x > 1.5 and z > 3.5:
-            found[term] = min(x, 6.0) * min(1.0, t / 4)
-    return dict(sorted(found.items(), key=lambda kv: (-kv[1], kv[0]))[:MAX_LEXICON])
+
+def _chosen(known: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of known (_id, toxic), by a hash of the id; tasks hand on little more than that in all."""
+    n = known.count()
+    cut = min(1.0, (most + 6 * math.sqrt(most) + 100) / max(1, n))
+    near = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < math.ceil(cut * (1 << 30)))
+    return near.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id").limit(most)
 
 
 class Trees:
@@ -259,27 +258,31 @@ class Model:
 def fit(spark, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", held_out_mod: int = 3, held_out: int = 1, max_train: int = MAX_TRAIN) -> Model:
     """A model of labels.toxic, fitted on at most max_train labelled rows whose crc32(doc_id as text) mod held_out_mod is not held_out.
 
-    Labels other than 0 and 1, null ids and ids without a text take no part. Without rows of both classes the model
-    scores everything 0.
+    Labels other than 0 and 1, null ids and ids without a row take no part. An id with several labels is toxic if one
+    says so; of its texts one counts, that of the smallest hash. Without rows of both classes the model scores
+    everything 0. The lexicon is limited by those rows alone.
     """
     ship(spark)
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull())
     known = known.where(F.crc32(F.col("_id").cast("string")) % held_out_mod != held_out).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    chosen = stored(_chosen(known, max_train), "toxicity-chosen")
     read = docs.select(F.col(doc_id).alias("_id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "_id")  # max_train rows at most
+    read = read.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = stored(read.select("text", "toxic", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-train")
     counted = rows.mapInArrow(_term_counts, "term string, fold int, toxic int, n long").groupBy("term").agg(
         *(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == y), F.col("n"))).alias(f"c{f}{y}") for f in range(FOLDS) for y in (0, 1))
     )
-    t = sum(F.coalesce(F.col(f"c{f}1"), F.lit(0)) for f in range(FOLDS))
-    n = sum(F.coalesce(F.col(f"c{f}0"), F.lit(0)) for f in range(FOLDS))
-    # the terms that may enter a lexicon: as many as the bounded sample can hold; the strongest are kept
-    strongest = counted.where((F.col("term") == "") | ((t >= 2) & (t > n * 0.25))).orderBy(F.col("term") != "", -(t / (n + 1)), "term").limit(4 * MAX_LEXICON)
-    counts = {r["term"]: {(f, y): r[f"c{f}{y}"] or 0 for f in range(FOLDS) for y in (0, 1)} for r in strongest.toLocalIterator()} if rows.limit(1).count() else {}
-    totals = counts.get("", {})
-    if not sum(v for (f, y), v in totals.items() if y) or not sum(v for (f, y), v in totals.items() if not y):
+    counted = stored(counted, "toxicity-terms")
+    total = counted.where("term = ''").first()
+    totals = total.asDict() if total else {}
+    if not all(any(totals.get(f"c{f}{y}") for f in range(FOLDS)) for y in (0, 1)):
+        discard(chosen, rows, counted)
         return Model({}, None, (np.zeros(0), np.zeros(0)))
-    own = {f: lexicon_of(counts, [g for g in range(FOLDS) if g != f]) for f in range(FOLDS)}
+    subsets = {"all": range(FOLDS)} | {f"not{f}": [g for g in range(FOLDS) if g != f] for f in range(FOLDS)}
+    weighed = counted.where("term <> ''").select("term", *(lexicon_weight(totals, s).alias(k) for k, s in subsets.items()))
+    weighed = weighed.where(F.coalesce(*subsets).isNotNull()).orderBy("term").collect()  # terms of the bounded sample that stand out
+    lexicons = {k: {r["term"]: r[k] for r in weighed if r[k] is not None} for k in subsets}
+    own = {f: lexicons[f"not{f}"] for f in range(FOLDS)}
     shipped = spark.sparkContext.broadcast(own)
 
     def run(batches):
@@ -295,6 +298,7 @@ def fit(spark, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     got = rows.mapInArrow(run, "x array<double>, fold int, toxic int").toPandas()  # max_train rows of numbers
     shipped.unpersist()
+    discard(chosen, rows, counted)
     x, y, fold = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(NAMES)), got["toxic"].to_numpy(np.float64), got["fold"].to_numpy()
     order = np.lexsort((*x.T, y, fold))
     x, y, fold = x[order], y[order], fold[order]
@@ -303,7 +307,7 @@ def fit(spark, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         a, b = fold != f, fold == f
         if b.any():
             out[b] = Trees().fit(x[a], y[a]).margin(x[b]) if a.any() else 0
-    return Model(lexicon_of(counts, range(FOLDS)), Trees().fit(x, y), isotonic(out, y))
+    return Model(lexicons["all"], Trees().fit(x, y), isotonic(out, y))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -335,7 +339,3 @@ def toxicity(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit(spark, docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
-
-
-def labels_of(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels")
