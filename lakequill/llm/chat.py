@@ -31,7 +31,12 @@ def escape(text):
 
 
 def unescape(text):
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    return _undone(text, lambda x: F.replace(x, F.lit("<\\|"), F.lit("<|")))
+
+
+def _undone(text, one):
+    """Escapes undone from left to right: one() of what stands between doubled backslashes, which become single ones."""
+    return F.array_join(F.transform(F.split(text, r"\\\\"), one), "\\")
 
 
 def _role(text):
@@ -40,9 +45,8 @@ def _role(text):
 
 
 def _unrole(text):
-    """A role read back: doubled backslashes are put aside while the line feeds return."""
-    aside = F.replace(text, F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|")), F.lit("\x00\x01"), F.lit("\\"))
+    """A role read back."""
+    return _undone(text, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|")))
 
 
 def format_conversations(turns: DataFrame, template: Template = Template(), conv_id: str = "conv_id") -> DataFrame:
