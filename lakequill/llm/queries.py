@@ -32,7 +32,7 @@ def op4_warc_dictionary(spark, sf_dir):
 
 
 def op5_token_files(spark, sf_dir):
-    return tokenfile.read_documents(tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), 50_257))
+    return tokenfile.read_documents(tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()))
 
 
 def op6_token_counts(spark, sf_dir):

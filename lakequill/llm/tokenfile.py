@@ -27,7 +27,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
-    """ids in bits bits each, padded with zeros to a multiple of 64 ids."""
+    """ids in bits bits each, padded with zeros to a multiple of 64 ids; an id that needs more raises ValueError."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
     rows = -(-len(ids) // 64)
     x = np.zeros(rows * 64, np.uint64)
     x[: len(ids)] = ids
@@ -165,18 +167,26 @@ def _write(root: str, tokenizer: str, bits: int, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> DataFrame:
+def vocabulary_of(tokenizer: str) -> int:
+    """Ids of a tokenizers file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> DataFrame:
     """Write the ids of every whole text, end_id after each, in ascending doc_id order; the manifest: shard, uri, n_docs, n_tokens, base (tokens of the shards before).
 
-    Shards hold ranges of doc_id. Null texts are empty; null ids come first; rows of one doc_id go by text. Further
+    vocabulary: number of ids; None asks the tokenizer. Shards hold ranges of doc_id. Null texts are empty; null ids come first; rows of one doc_id go by text. Further
     columns are ignored; an empty table gives no files. A repeated task replaces its own file.
     """
     spark = docs.sparkSession
     ship(spark)
     root = root or shared_path(spark, "tokens")
+    bits = bits_for(max(vocabulary_of(tokenizer) if vocabulary is None else vocabulary, end_id + 1))
     read = docs.select(F.col(doc_id).cast("long").alias("_lq_id"), text_or_empty(text).alias("_lq_text"))
     dealt = read.repartitionByRange(shuffle_parts(spark), "_lq_id").sortWithinPartitions("_lq_id", "_lq_text")
-    manifest = stored(dealt.mapInArrow(_write(root, tokenizer, bits_for(vocabulary), end_id), "shard int, uri string, n_docs long, n_tokens long"), "manifest")
+    manifest = stored(dealt.mapInArrow(_write(root, tokenizer, bits, end_id), "shard int, uri string, n_docs long, n_tokens long"), "manifest")
     rows, base = [], 0
     for r in manifest.orderBy("shard").collect():  # one row for each file
         rows.append((*r, base))
