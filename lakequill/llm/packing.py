@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lakequill.llm.common import ship, stored, text_or_empty
 
-#: Salts that spread pieces of one length over tasks while they are ranked.
-SALTS = 64
+#: Tasks over which the pieces of one length are spread, at least, while they are ranked, and pieces of a task beyond which there are more.
+SALTS, RANKED = 64, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -117,14 +117,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), end_i
     A document is its whole text's ids, then end_id; longer ones than capacity.tokens are cut, the first piece may be
     shorter. Null and empty texts are the end id alone. Repeated rows are packed each; null ids stay. Ties between
     pieces of one length go by doc_id, piece and crc. An empty table gives an empty result. Further columns are ignored.
-    The driver holds counts by length (capacity.tokens at most, times SALTS) and the plan, never pieces.
+    The driver holds counts by length (capacity.tokens at most, times SALTS, and one for every RANKED pieces) and the plan, never pieces.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     read = docs.select(F.col(doc_id).alias("_lq_id"), text_or_empty(text).alias("_lq_text"))
     pieces = read.mapInArrow(_pieces(tokenizer, capacity.tokens, end_id, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
-    pieces = stored(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    hot = {r["length"]: r["count"] // RANKED for r in pieces.groupBy("length").count().where(F.col("count") >= SALTS * RANKED).collect()}
+    salts = F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[F.col("length")], F.lit(SALTS)) if hot else F.lit(SALTS)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), salts).cast("int"))
     totals = sorted((r["length"], r["_salt"], r["count"]) for r in pieces.groupBy("length", "_salt").count().collect())
     counts: dict[int, int] = {}
     before = []
@@ -135,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), end_i
     by_length: dict[int, list] = {}
     for n, *line in lines:
         by_length.setdefault(n, []).append(line)
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1)
+    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "_row")) - 1)
     starts = spark.sparkContext.broadcast({(n, s): b for n, s, b in before})
     shipped = spark.sparkContext.broadcast({n: ([x[0] for x in xs], xs) for n, xs in by_length.items()})
 
