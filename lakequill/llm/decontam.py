@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import stored
+from lakequill.llm.common import spread_join, stored
 
 #: Prefix rows (one for each distinct window) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -60,17 +60,17 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         .join(rarity, "word", "left")
         .groupBy("win_id")
         .agg(F.first("win").alias("win"), F.first("size").alias("size"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "at")).alias("key"))
-        .select("win_id", "win", "size", F.col("key.word").alias("word"), F.col("key.at").alias("at"))
+        .select("win_id", "win", "size", F.col("key.word").alias("word"), F.col("key.at").alias("at"), F.col("key.df").alias("df"))
     )
     prefix = stored(ranked.where(F.col("word").isNotNull()), "prefix")
     small = prefix.count() <= BROADCAST_WINDOWS
     if small:
         tokens = words.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
-        joined = tokens.withColumn("word", F.lower("word")).join(F.broadcast(prefix), "word")
+        joined = tokens.withColumn("word", F.lower("word")).join(F.broadcast(prefix.drop("df")), "word")
     else:
         tokens = words.select("doc_id", "th", F.posexplode("w").alias("pos", "word"))
         lists = words.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "w")
-        joined = tokens.withColumn("word", F.lower("word")).join(prefix, "word")
+        joined = spread_join(tokens.withColumn("word", F.lower("word")), prefix.drop("df"), "word", prefix.select("word", F.col("df").alias("rows")).distinct())
         joined = joined.join(lists, joined.doc_id.eqNullSafe(lists._d) & (joined.th == lists._h))
     begin = F.col("pos") - F.col("at")
     hits = joined.where((begin >= 0) & (begin + F.col("size") <= F.size("w"))).where(lowered(F.slice("w", begin + 1, F.col("size"))) == F.col("win"))
