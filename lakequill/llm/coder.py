@@ -29,7 +29,7 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 _STOPS = tuple(".,!?;:")
 #: Entries of a worker's memos. A full one takes no more, and is emptied once it has missed as often as STALE times its size.
-CHUNKS, PIECES, STALE = 600_000, 300_000, 6
+CHUNKS, PIECES, STALE = 300_000, 150_000, 6
 _CODERS: dict[str, "Coder"] = {}
 
 

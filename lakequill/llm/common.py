@@ -10,15 +10,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.runtime import ship  # noqa: F401
+from lakequill import runtime
 
 _OWN: list[str] = []
 #: Rows up to which a table of a few numbers is broadcast after it has been counted.
 BROADCAST_ROWS = 100_000
+#: Bytes of an Arrow batch that a Python worker is sent; a longer text makes a batch of its own.
+BATCH_BYTES, _BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of one key that a task of spread_join takes; a key with more is dealt to several.
 HOT = 4096
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the Python workers, and bound the bytes of the batches that they are sent, not only the rows."""
+    runtime.ship(spark)
+    if spark.sparkContext.getConf().get(_BATCH_CONF, None) is None:  # a size of the user's own stays
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master without it (tests), an own one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
