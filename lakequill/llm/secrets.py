@@ -2,7 +2,9 @@
 
 Base patterns find assignments, access key ids and long hex runs. Beside them, base64 and hex candidates are
 decoded and reported only when their bytes parse: DER key encodings whose nested lengths fill their parents
-exactly, OpenSSH private keys, and signed tokens whose header is a JSON object that names an algorithm.
+exactly, OpenSSH private keys, and signed tokens: a header that is a JSON object and names an algorithm other than
+"none", a payload and a signature that decode. Public keys are findings of their own kind and are not redacted. Lines
+of one key may be parted by line feeds, by their escapes in JSON (backslash-n), and be indented.
 """
 
 from __future__ import annotations
@@ -25,18 +27,24 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:[\r\n]+[A-Za-z0-9+/_-]+)*={0,2}")
-KEY_START = re.compile(r"(?:(?<=[\r\n])|\A)(?:M|b3BlbnNzaC1rZXkt)")
+_BREAK = r"(?:\\[rn]|[\r\n])+[ \t]*"
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{24,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+KEY_START = re.compile(r"(?:(?<=[\r\n \t])|(?<=\\[rn]))(?:M|b3BlbnNzaC1rZXkt)")
+_PART = re.compile(r"(?:\\[rn]|[\r\n \t])+")
 ANY_HEX = re.compile(r"[0-9a-fA-F]{48,}")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")  # of a brace and what may follow it
+KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key", "public_key")
 OIDS = {  # fixed values: object identifiers of key algorithms, as their DER content bytes in hex
     "2a864886f70d010101": "rsa",
     "2a8648ce3d0201": "ec",
     "2a8648ce380401": "dsa",
     "2b6570": "ed25519",
     "2b656e": "x25519",
+    "2b6571": "ed448",
+    "2b656f": "x448",
+    "2a864886f70d01010a": "rsa-pss",
 }
+PBE = "2a864886f70d0105"  # fixed value: password-based encryption, before its number in PKCS#5
 
 
 def der_items(b: bytes) -> list[tuple[int, bytes]] | None:
@@ -61,27 +69,32 @@ def der_items(b: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_der_key(b: bytes) -> bool:
-    """Whether b is a PKCS#1, SEC 1, PKCS#8 or SubjectPublicKeyInfo key, by its nested lengths and types."""
+def der_key_kind(b: bytes) -> str | None:
+    """der_key for a PKCS#1, SEC 1, DSA, PKCS#8 or encrypted PKCS#8 private key, public_key for PKCS#1 or SubjectPublicKeyInfo, by nested lengths and types."""
     if len(b) < 32 or b[0] != 0x30:
-        return False
+        return None
     top = der_items(b)
     if not top or len(top) != 1:
-        return False
+        return None
     items = der_items(top[0][1])
     if not items:
-        return False
+        return None
     tags = [t for t, _ in items]
     if tags[0] == 0x02 and items[0][1] in (b"\0", b"\1"):
         if len(tags) >= 9 and set(tags[:9]) == {0x02} and len(items[1][1]) >= 32:
-            return True
+            return "der_key"
+        if tags == [0x02] * 6 and items[0][1] == b"\0" and len(items[1][1]) >= 64:
+            return "der_key"
         if len(tags) >= 2 and tags[1] == 0x04 and items[0][1] == b"\1" and 16 <= len(items[1][1]) <= 66:
-            return True
+            return "der_key"
         if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
-            return _names_algorithm(items[1][1])
+            return "der_key" if _names_algorithm(items[1][1]) else None
     if tags == [0x30, 0x03]:
-        return _names_algorithm(items[0][1])
-    return tags == [0x02, 0x02] and len(items[0][1]) >= 64 and len(items[1][1]) <= 8
+        return "public_key" if _names_algorithm(items[0][1]) else None
+    if tags == [0x30, 0x04]:
+        inner = der_items(items[0][1])
+        return "der_key" if inner and inner[0][0] == 0x06 and inner[0][1].hex().startswith(PBE) else None
+    return "public_key" if tags == [0x02, 0x02] and len(items[0][1]) >= 64 and len(items[1][1]) <= 8 else None
 
 
 def _names_algorithm(b: bytes) -> bool:
@@ -117,7 +130,13 @@ def is_token_header(part: str) -> bool:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
     except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and head["alg"].strip().lower() not in ("", "none")
+
+
+def is_signed_token(token: str) -> bool:
+    """Whether header, payload and signature of a dotted token decode, and the header names how it is signed."""
+    head, payload, signature = token.split(".")
+    return is_token_header(head) and all(len(x) % 4 != 1 for x in (payload, signature))
 
 
 def _decoded(s: str) -> bytes | None:
@@ -139,32 +158,33 @@ def _der_size(s: str) -> int | None:
     return 2 + k + int.from_bytes(b[2 : 2 + k], "big") if 1 <= k <= 4 else None
 
 
-def _key_at(run: str) -> tuple[int, str] | None:
-    """(length, kind) of the key that starts a run of base64 lines, or None.
+def _key_at(text: str, at: int, end: int) -> tuple[int, str] | None:
+    """(end, kind) of the key that starts at a place of a run of base64 lines, which ends at end, or None.
 
-    The outer length of a DER key says where it ends, so lines that follow (an end marker, prose) are left out; it
-    has to end where a line or the run does. An OpenSSH key, whose end nothing states, runs to the run's end.
+    The outer length of a DER key says where it ends, so lines that follow (an end marker, prose) are left out and no
+    more than the key is read; it has to end where a line or the run does. An OpenSSH key, whose end nothing states,
+    runs to the run's end.
     """
-    if run.startswith("b3BlbnNzaC1rZXkt"):
-        n = len(run)
-        end = run.find("\n-----END")
-        n = n if end < 0 else len(run[:end].rstrip("\r"))
-        lines = re.sub(r"[\r\n]", "", run[:n])
+    if text.startswith("b3BlbnNzaC1rZXkt", at):
+        if (stop := text.find("-----END", at, end)) >= 0:
+            end = stop
+            while _PART.match(text, end - 1) or text[end - 2 : end] in ("\\n", "\\r"):
+                end -= 2 if text[end - 2 : end] in ("\\n", "\\r") else 1
+        lines = _PART.sub("", text[at:end])
         raw = _decoded(lines[: len(lines.rstrip("=")) // 4 * 4])
-        return (n, "ssh_key") if raw and is_ssh_key(raw) else None
-    size = _der_size(run)
+        return (end, "ssh_key") if raw and is_ssh_key(raw) else None
+    size = _der_size(text[at : at + 8])
     if not size or size < 32:
         return None
-    need, n = -(-size * 4 // 3), 0
-    chars = []
-    for line in re.finditer(r"[^\r\n]+", run):
-        chars.append(line[0].rstrip("="))
+    need, chars = -(-size * 4 // 3), []
+    while need > 0 and at < end:
+        brk = _PART.search(text, at, end)
+        stop = brk.start() if brk else end
+        chars.append(text[at:stop].rstrip("="))
         need -= len(chars[-1])
-        n = line.end()
-        if need <= 0:
-            break
-    raw = _decoded("".join(chars)) if need == 0 else None
-    return (n, "der_key") if raw and is_der_key(raw) else None
+        done, at = stop, brk.end() if brk else end
+    kind = der_key_kind(raw) if need == 0 and (raw := _decoded("".join(chars))) else None
+    return (done, kind) if kind else None
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -175,18 +195,19 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_token_header(m[0].partition(".")[0])]
+    if "ey" in text or "ew" in text:
+        found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if "M" in text or "b3BlbnNzaC1rZXkt" in text:  # base64 of a DER sequence's tag, and of the OpenSSH magic
         for m in BASE64.finditer(text):
-            end = 0
-            for at in KEY_START.finditer(m[0]):
-                key = _key_at(m[0][at.start() :]) if at.start() >= end else None
-                if key:
-                    end = at.start() + key[0]
-                    found.append((m.start() + at.start(), m.start() + end, key[1]))
+            end = m.start()
+            for at in [m.start(), *(x.start() for x in KEY_START.finditer(text, m.start() + 1, m.end()))]:
+                if at >= end and text[at] in "Mb" and (key := _key_at(text, at, m.end())):
+                    end = key[0]
+                    found.append((at, *key))
     if "30" in text:
-        found += [(m.start(), m.end(), "der_key") for m in ANY_HEX.finditer(text) if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
+        for m in ANY_HEX.finditer(text):
+            if m[0].startswith("30") and len(m[0]) % 2 == 0 and (kind := der_key_kind(bytes.fromhex(m[0]))):
+                found.append((m.start(), m.end(), kind))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -236,7 +257,7 @@ def _redact(batches):
                 out.append(None)
                 continue
             parts, at = [], 0
-            for s, e, k in scan(text):
+            for s, e, k in (x for x in scan(text) if x[2] != "public_key"):
                 if s >= at:
                     parts += [text[at:s], f"[{k}]"]
                 at = max(at, e)
@@ -245,7 +266,7 @@ def _redact(batches):
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every finding in text replaced by its kind in brackets; all rows and columns stay, null texts too.
+    """docs with every finding in text but public keys replaced by its kind in brackets; all rows and columns stay, null texts too.
 
     Overlapping findings are replaced once, under the name of the first.
     """

@@ -110,7 +110,7 @@ def test_secrets(spark):
     token = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=") + ".eyJhIjoxfQ.c2ln"
     text = f'É password = "abc" Secret: abcdef1 AKIA{"A" * 16} AKIAX {"0f" * 12} {token} {base64.b64encode(rsa).decode()} {spki.hex()} {base64.b64encode(rsa[:-1]).decode()}'
     kinds = [k for _, _, k in secrets.scan(text)]
-    assert kinds == ["assign", "access", "hex", "jwt", "der_key", "hex", "der_key"]
+    assert kinds == ["assign", "access", "hex", "jwt", "der_key", "hex", "public_key"]
     rows = {r.doc_id: r for r in secrets.secret_scan(frame(spark, [(1, text), (2, None), (3, ""), (3, "")])).collect()}
     assert (rows[1].n_assign, rows[1].n_access, rows[1].n_hex) == (1, 1, 2) and rows[2].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = secrets.redact(frame(spark, [(1, text), (2, None)])).collect()
@@ -314,3 +314,132 @@ def test_pipeline_judges_rows(spark, tmp_path):
     want = [(1, copy), (None, "q " + lone), rows[12], rows[14], rows[16], (5, near), (None, None), (7, None), (7, "")]
     want += [(i, t) for i, t in extra if not t.endswith("moron")]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_roles_come_back_whatever_they_hold(spark):
+    r = random.Random(6)
+    texts = ["a\x00\x01b", "\\\n", "\n\\", "<\\|", "\\<|", "\\\\n", "<|\\n\n"] + ["".join(r.choice("\\n\n<|\x00\x01a") for _ in range(12)) for _ in range(200)]
+    df = spark.createDataFrame([(i, 0, t, t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    back = {x.conv_id: x.turns[0] for x in chat.read_back(chat.format_conversations(df)).collect()}
+    assert all((back[i].role, back[i].text) == (t, t) for i, t in enumerate(texts))
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_bounded_sample_of_labels(spark):
+    r = random.Random(9)
+    docs = [(i, " ".join(f"w{r.randint(0, 50)}" for _ in range(12)) + (" zorgblat" if i % 2 else "") + f" copy{c}") for i in range(300) for c in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (4, 1), (6, 7)], "doc_id long, toxic int")
+    seen, real = [], toxicity.Trees.fit
+
+    def fit(self, x, y):
+        seen.append(len(y))
+        return real(self, x, y)
+
+    toxicity.Trees.fit = fit
+    try:
+        toxicity.fit(spark, frame(spark, docs), labels, max_train=60)
+    finally:
+        toxicity.Trees.fit = real
+    assert max(seen) == 60
+    every = toxicity._chosen(spark.range(50).selectExpr("id _id", "1 toxic"), 60)
+    assert every.count() == 50 and toxicity._chosen(spark.range(10_000).selectExpr("id _id", "1 toxic"), 60).count() == 60
+
+
+def test_ids_that_need_more_bits_are_refused():
+    with pytest.raises(ValueError):
+        tokenfile.pack_ids(np.array([70_000], "<u4"), 16)
+    assert tokenfile.vocabulary_of(tokenizer_path()) == 50_257
+
+
+def test_token_files_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK", 128)
+    r = np.random.default_rng(2)
+    docs = [(i if i % 5 else None, r.integers(0, 1000, int(r.integers(1, 700))).astype("<u4")) for i in range(40)]
+    from lakequill.llm.common import shared_path
+
+    uri = shared_path(spark, "blocks") + "/a.lqtok"
+    assert tokenfile.write_token_file(uri, ((i, x.tobytes()) for i, x in docs), 10) == (40, sum(len(x) for _, x in docs))
+    whole, f = np.concatenate([x for _, x in docs]), tokenfile.TokenFile(uri)
+    assert all((f.document(k) == x).all() for k, (_, x) in enumerate(docs))
+    for _ in range(50):
+        a, b = sorted(r.integers(0, len(whole), 2).tolist())
+        assert (f.ids(a, b) == whole[a:b]).all()
+    assert [x[3] for x in f.documents()] == [zlib.crc32(x.tobytes()) for _, x in docs]
+
+
+def b64url(b):
+    return base64.urlsafe_b64encode(b).decode().rstrip("=")
+
+
+def test_signed_tokens_only():
+    sign = lambda head, sig="c2ln": f"{b64url(head)}.{b64url(b'{}')}.{sig}"
+    for head in (b'{"alg":"HS256"}', b'{ "alg":"HS256"}', b'{\n "typ":"JWT", "alg":"ES256"}'):
+        assert [k for *_, k in secrets.scan(f"x {sign(head)} y")] == ["jwt"]
+    for token in (sign(b'{"alg":"none"}'), sign(b'{"alg":""}'), sign(b'{"alg":"HS256"}', ""), sign(b'{"a":1}'), sign(b"[1]"), sign(b'{"alg":"HS256"}', "abcde")):
+        assert not [k for *_, k in secrets.scan(token) if k == "jwt"]
+
+
+def der(tag, *parts):
+    b = b"".join(parts)
+    n = len(b)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + b
+
+
+def test_key_encodings():
+    oid = lambda h: der(0x30, der(6, bytes.fromhex(h)))
+    private = [
+        der(0x30, oid("2a864886f70d01050d"), der(4, bytes(64))),  # encrypted PKCS#8
+        der(0x30, der(2, b"\0"), *(der(2, bytes([7] * 70)) for _ in range(5))),  # DSA
+        *(der(0x30, der(2, b"\0"), oid(h), der(4, bytes(57))) for h in ("2b6571", "2b656f", "2a864886f70d01010a")),
+    ]
+    public = [der(0x30, oid("2b6571"), der(3, bytes(58))), der(0x30, der(2, bytes([5] * 128)), der(2, b"\1\0\1"))]
+    for kind, keys in (("der_key", private), ("public_key", public)):
+        for key in keys:
+            body = base64.b64encode(key).decode()
+            lines = [body[i : i + 32] for i in range(0, len(body), 32)]
+            for sep in ("", "\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                text = "key: " + sep + sep.join(lines) + sep + "."
+                found = [x for x in secrets.scan(text) if x[2] == kind]
+                assert found == [(5 + len(sep), 5 + len(sep) + len(sep.join(lines)), kind)], (sep, text)
+            assert [k for *_, k in secrets.scan(key.hex().upper()) if k != "hex"] == [kind]
+            assert not [k for *_, k in secrets.scan(base64.b64encode(key[:-2]).decode()) if k != "hex"]
+
+
+def test_a_huge_body_of_lines_is_read_once():
+    import time
+
+    t = time.time()
+    assert not [x for x in secrets.scan(("M" + "A" * 63 + "\n") * 30_000) if x[2] != "hex"]
+    assert time.time() - t < 20
+
+
+def test_base_spans_against_single_steps():
+    """The base kinds by trying every place from left to right."""
+    r, words = random.Random(12), ["password", "PassWD", "secret", "token", "api_key", "apikey", "AKIA", "0f3a", "A1B2", " ", "=", ":", '"', "'", "x", "é", "\n", "abc+/_.=-", "deadbeef" * 3, "Z" * 16]
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""")
+    for _ in range(400):
+        text, want = "".join(r.choice(words) for _ in range(r.randint(0, 40))), []
+        at = 0
+        while at < len(text):
+            m = assign.match(text, at)
+            e = m.end() if m else at
+            while m and e < len(text) and text[e] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-":
+                e += 1
+            if m and e > m.end():
+                want += [(at, e, "assign")] if e - m.end() >= 6 else []
+                at = e
+            else:
+                at += 1
+        for kind, first, chars, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+            at = 0
+            while at < len(text):
+                e = at + len(first)
+                while text.startswith(first, at) and e < len(text) and text[e] in chars:
+                    e += 1
+                if text.startswith(first, at) and e > at + len(first):
+                    want += [(at, e, kind)] if e - at >= least else []
+                    at = e
+                else:
+                    at += 1
+        got = [x for x in secrets.scan(text) if x[2] in secrets.KINDS[:3]]
+        assert got == sorted(want, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
