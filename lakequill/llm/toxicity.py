@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lakequill.llm.common import discard, ship, stored, text_or_empty, trim_worker
 
@@ -310,15 +311,11 @@ def fit(spark, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     return Model(lexicons["all"], Trees().fit(x, y), isotonic(out, y))
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row for each row of docs: doc_id, score (0 to 1), predicted (1 if score >= threshold).
-
-    Null and empty texts are scored as texts without words. Repeated rows get equal scores; null ids stay. Further
-    columns are ignored.
-    """
+def _scored(docs: DataFrame, model: Model, text: str, threshold: float) -> DataFrame:
+    """docs, their text as _lq_text and empty where null, with _lq_score and _lq_predicted; one pass without a shuffle."""
     ship(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    read = docs.withColumn("_lq_text", text_or_empty(text))
 
     def run(batches):
         import pyarrow as pa
@@ -329,9 +326,26 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             x = np.array([features(t, lexicon) for t in batch.column("_lq_text").to_pylist()], np.float64).reshape(len(batch), len(NAMES))
             s = m.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("_lq_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            keep = batch.drop_columns(["_lq_text"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep.schema.names, "_lq_score", "_lq_predicted"])
+
+    schema = StructType([*docs.schema.fields, StructField("_lq_score", DoubleType()), StructField("_lq_predicted", IntegerType())])
+    return read.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """One row for each row of docs: doc_id, score (0 to 1), predicted (1 if score >= threshold).
+
+    Null and empty texts are scored as texts without words. Repeated rows get equal scores; null ids stay. Further
+    columns are ignored.
+    """
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_lq_raw"))
+    return _scored(read, model, "_lq_raw", threshold).select("doc_id", F.col("_lq_score").alias("score"), F.col("_lq_predicted").alias("predicted"))
+
 
-    return docs.select(F.col(doc_id).alias("_lq_id"), text_or_empty(text).alias("_lq_text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that the model scores below threshold; each row is judged by its own text."""
+    return _scored(docs, model, text, threshold).where("_lq_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:

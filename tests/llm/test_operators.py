@@ -314,6 +314,24 @@ def test_pipeline_judges_rows(spark, tmp_path):
     want = [(1, copy), (None, "q " + lone), rows[12], rows[14], rows[16], (5, near), (None, None), (7, None), (7, "")]
     want += [(i, t) for i, t in extra if not t.endswith("moron")]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+    secret = "password = hunter2222 and AKIA" + "Q" * 16
+    more = spark.createDataFrame([(9, f"é {secret}", "en", "s", 0), (None, None, "en", "s", None)], kinds)
+    redacted = corpus_pipeline.redact_secrets(spark, docs.unionByName(more), str(tmp_path))
+    assert redacted.columns == docs.columns
+    after = [(x.doc_id, x.text, x.n_chars) for x in redacted.collect()]
+    clean = [(i, t, None if t is None else len(t)) for i, t in [*got, (9, "é [assign] and [access]"), (None, None)]]
+    assert sorted(map(repr, after)) == sorted(map(repr, clean))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    pieces = corpus_pipeline.pack_sequences(spark, redacted, str(tmp_path)).collect()
+    lengths = sorted((repr(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in clean)
+    assert sorted((repr(p.doc_id), p.length) for p in pieces) == lengths  # all of one piece
+    bins = {}
+    for p in sorted(pieces, key=lambda p: p.offset):
+        assert p.offset == bins.get(p.sequence_id, 0)
+        bins[p.sequence_id] = p.offset + p.length
+    assert max(bins.values()) <= 1024 and len(bins) <= sum(n for _, n in lengths) // 1024 + 2
 
 
 def test_roles_come_back_whatever_they_hold(spark):
