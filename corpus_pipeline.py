@@ -2,7 +2,7 @@
 
 Rows are judged each by its own key, so repeated, shared and null ids are like any others. Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
 columns of documents. ORACLE_SQL is None: scores of a fitted model and best-fit packing aren't SQL; the tests hold
-every stage against a brute-force version of its own.
+the rows that each stage keeps, the redacted texts and the packed pieces against answers found without it.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ def _without(rows, rejected):
 def drop_toxic(spark, docs, sf_dir):
     """Rows that the model predicts as toxic go; fitted on the labels of sf_dir that aren't held out."""
     model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    rows = _keyed(docs)
-    return _without(rows, stored(toxicity.score(rows, model, doc_id="_lq_row").where("predicted = 1").select("doc_id"), "toxic"))
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
