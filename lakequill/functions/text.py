@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 
 def _cut_bytes(text, n: int, up: bool):
-    """The longest prefix of n bytes that ends between characters, or the shortest of at least n: character lengths are tried from n down to n / 4."""
-    sizes = F.sequence(F.lit(n // 4), F.lit(n + 4))
-    fits = lambda k: F.octet_length(F.substring(text, F.lit(1), k)) <= n if not up else F.octet_length(F.substring(text, F.lit(1), k)) >= n
-    k = F.array_max(F.filter(sizes, fits)) if not up else F.array_min(F.filter(sizes, fits))
-    return F.substring(text, F.lit(1), k)
+    """The longest prefix of n bytes that ends between characters, or the shortest of at least n: at most three continuation bytes are stepped over."""
+    data = F.encode(text, "UTF-8")
+    steps = [n + k if up else n - k for k in range(4)]
+    inside = lambda k: F.hex(F.substring(data, k + 1, 1)).between("80", "BF")
+    k = F.when(~inside(steps[0]), steps[0]).when(~inside(steps[1]), steps[1]).when(~inside(steps[2]), steps[2]).otherwise(steps[3])
+    return F.decode(F.substring(data, F.lit(1), k), "UTF-8")
 
 
 def excerpt(text, n: int = 800, mark: str = "…"):

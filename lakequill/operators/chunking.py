@@ -6,6 +6,7 @@ a shuffle; the positions inside come from compiled patterns and numpy over the f
 
 from __future__ import annotations
 
+import html
 import json
 import re
 
@@ -23,6 +24,9 @@ _FOLLOWS = re.compile(
 _SCORES = {"codeblock": 80.0, "blank": 20.0, "hr": 60.0, "list": 5.0, "numlist": 5.0}
 _FENCE = re.compile(rb"\n```")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+#: Lines of markdown end at a line feed, a carriage return, or both; other separators are text.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
+_LINK, _EMPHASIS, _MARKUP = re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), re.compile(r"(?<!\w)(__?)(?=\S)(.+?)(?<=\S)\1(?!\w)"), re.compile(r"[`*]|\s*\{[^}]*\}$")
 _FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)(?:^---[ \t]*$|^\.\.\.[ \t]*$)(?:\r?\n)?", re.S | re.M)
 
 
@@ -115,10 +119,16 @@ def front_json(fields: dict | None) -> str:
     return json.dumps(fields or {"tags": [], "aliases": [], "title": None, "date": None}, ensure_ascii=False, separators=(",", ":"), default=str)
 
 
+def heading_text(title: str) -> str:
+    """The text of a heading: links as their labels, without marks of emphasis and code, entities as characters."""
+    title = _LINK.sub(r"\1", title)
+    return html.unescape(_MARKUP.sub("", _EMPHASIS.sub(r"\2", title))).strip()
+
+
 def headings(text: str, skip: int = 0) -> list[tuple[int, str, int]]:
     """(byte offset, breadcrumb, level) of each ATX or underlined heading behind the first skip bytes, outside fenced code."""
     out, stack, at, fence, before = [], [], skip, None, None
-    for line in text.encode()[skip:].decode(errors="replace").splitlines(keepends=True):
+    for line in _LINE.findall(text.encode()[skip:].decode(errors="replace")):
         bare = line.rstrip("\r\n")
         mark = re.match(r" {0,3}(`{3,}|~{3,})", bare)
         found = None
@@ -133,10 +143,11 @@ def headings(text: str, skip: int = 0) -> list[tuple[int, str, int]]:
         elif before and re.fullmatch(r" {0,3}(=+|-+)[ \t]*", bare):
             found, before = (before[0], 1 if bare.strip()[0] == "=" else 2, before[1]), None
         else:
-            before = (at, bare.strip()) if bare.strip() and not re.match(r" {0,3}([-*+>]|\d+[.)])( |$)", bare) else None
+            plain = bare.strip() and not re.match(r" {0,3}([-*+>]|\d+[.)])( |$)", bare)
+            before = (before[0], f"{before[1]} {bare.strip()}") if plain and before else (at, bare.strip()) if plain else None
         if found:
             offset, level, title = found
-            stack = [x for x in stack if x[0] < level] + [(level, re.sub(r"[`*]|\s*\{[^}]*\}$", "", title).strip())]
+            stack = [x for x in stack if x[0] < level] + [(level, heading_text(title))]
             out.append((offset, " > ".join("#" * n + " " + t for n, t in stack), level))
         at += len(line.encode())
     return out
@@ -178,6 +189,33 @@ def chunk_files(files: DataFrame, path: str = "file_path", text: str = "text") -
     return files.select(F.col(path).cast("string").alias("file_path"), F.col(text).cast("string").alias("text")).mapInArrow(run, CHUNKED)
 
 
+def _per_file(files: DataFrame, of, schema: str) -> DataFrame:
+    """Rows (file_path, *) that of(text) lists for each file (file_path, text)."""
+    import pyarrow as pa
+
+    ship(files.sparkSession)
+    names = ["file_path", *(c.split()[0] for c in schema.split(", "))]
+    types = [pa.string(), *({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, *r) for p, t in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist()) if t is not None for r in of(t)]
+            cols = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return files.select(F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, f"file_path string, {schema}")
+
+
+def fences_of(files: DataFrame) -> DataFrame:
+    """(file_path, fence_start, fence_end) of every region of code."""
+    return _per_file(files, lambda t: fences(t.encode()), "fence_start long, fence_end long")
+
+
+def headings_of(files: DataFrame) -> DataFrame:
+    """(file_path, pos, heading_breadcrumb, heading_level) of every heading behind the front matter."""
+    return _per_file(files, lambda t: headings(t, front_matter(t)[1]), "pos long, heading_breadcrumb string, heading_level int")
+
+
 def points_of(files: DataFrame) -> DataFrame:
     """(file_path, pos, score, kind) of every break point, in Spark functions: lines and a running sum of their bytes."""
     lines = files.select("file_path", F.posexplode(F.split("text", "\n")).alias("n", "line"))

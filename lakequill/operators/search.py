@@ -79,6 +79,35 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "body") -> Da
     return words.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+#: Folders that the postings of a stored index are dealt to by term.
+BUCKETS = 256
+
+
+def write_index(chunks: DataFrame, root: str, key: str = "chunk_id", text: str = "body") -> None:
+    """Store the postings, dealt to folders by term, and the corpus's row count and mean length: a search then reads its own terms' rows alone."""
+    rows = postings(chunks, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    lengths = chunks.select(F.size(tokens(F.col(text))).alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
+
+
+def bm25_indexed(spark, root: str, query: str, limit: int, key: str = "chunk_id") -> DataFrame:
+    """(key, fts_raw) of the limit best rows of a stored index; the same as bm25 over its rows. Rows without a word count as rows."""
+    terms = sorted(set(_query_terms(query)))
+    read = spark.read.parquet(f"{root}/postings")
+    if not terms:
+        return read.select(key, F.lit(0.0).alias("fts_raw")).where("false")
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()
+    own = read.where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("term").isin(terms)).select(key, "term", "tf", "dl")
+    held = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    n = spark.read.parquet(f"{root}/stats")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    f = F.col("tf").cast("double")
+    part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = own.join(F.broadcast(held.crossJoin(F.broadcast(n))), "term").select(key, part.alias("s"))
+    return scored.groupBy(key).agg(F.sum("s").alias("fts_raw")).orderBy(F.desc("fts_raw"), key).limit(limit)
+
+
 def bm25(chunks: DataFrame, query: str, limit: int, key: str = "chunk_id", text: str = "body") -> DataFrame:
     """(key, fts_raw) of the limit best rows. Statistics of the corpus are one aggregate; only rows that hold a term go on."""
     terms = sorted(set(_query_terms(query)))
@@ -125,11 +154,16 @@ def fuse(semantic_rows: DataFrame, fts_rows: DataFrame, limit: int, key: str = "
     return both.select(key, rel.alias("relevance"), "semantic_score", "fts_raw").orderBy(F.desc("relevance"), key).limit(limit)
 
 
+def ordinals(chunks: DataFrame, tie: str = "chunk_id") -> DataFrame:
+    """chunks with `at`, their place in their file from 1."""
+    return chunks.withColumn("at", F.row_number().over(Window.partitionBy("file_path").orderBy("line_start", "line_end", tie)))
+
+
 def context(chunks: DataFrame, results: DataFrame, n: int, tie: str = "chunk_id") -> DataFrame:
     """Neighbours of each result: n chunks before and after it in its file, by line; result_index is the parent's. Neighbours may repeat results and each other."""
     wanted = results.select("file_path").distinct()
     own = chunks.join(wanted, "file_path", "left_semi")
-    placed = own.withColumn("at", F.row_number().over(Window.partitionBy("file_path").orderBy("line_start", "line_end", tie)))
+    placed = ordinals(own, tie)
     match = placed.select("file_path", "line_start", "line_end", "at").groupBy("file_path", "line_start", "line_end").agg(F.min("at").alias("mid"))
     mid = results.select("file_path", "line_start", "line_end", "result_index").join(match, ["file_path", "line_start", "line_end"]).select("file_path", "mid", "result_index")
     near = placed.join(mid, "file_path").where((F.abs(F.col("at") - F.col("mid")) <= n) & (F.col("at") != F.col("mid")))
@@ -149,18 +183,27 @@ def is_permutation(indices, n):
     return F.coalesce((F.size(indices) == n) & (F.array_sort(indices) == F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))), F.lit(False))
 
 
-def search(chunks: DataFrame, options: SearchOptions) -> DataFrame:
-    """Results with similarity_score, semantic_score, fts_score, is_context and context_for_index, in order of `ordinal`."""
+def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = None) -> DataFrame:
+    """Results with similarity_score, semantic_score, fts_score, is_context and context_for_index, in order of `ordinal`.
+
+    index_root: a full-text index that write_index stored for these chunks; it serves searches without a path filter.
+    """
+
+    def full_text(rows, fetch):
+        if index_root and options.path_filter is None:
+            return bm25_indexed(chunks.sparkSession, index_root, options.query, fetch)
+        return bm25(rows, options.query, fetch)
+
     o = options
     rows, fetch = path_filter(chunks, o.path_filter), o.fetch_limit()
     none = F.lit(None).cast("double")
     if o.mode == "semantic":
         top = semantic(rows, o.vector, fetch).withColumn("fts_score", none).withColumn("similarity_score", F.col("semantic_score"))
     elif o.mode == "fts":
-        got = bm25(rows, o.query, fetch)
+        got = full_text(rows, fetch)
         top = rows.join(F.broadcast(got), "chunk_id").withColumn("semantic_score", none).withColumn("fts_score", by_maximum("fts_raw")).withColumn("similarity_score", F.col("fts_score")).drop("fts_raw")
     elif o.mode == "hybrid":
-        got = fuse(semantic(rows.select("chunk_id", "vector"), o.vector, fetch), bm25(rows, o.query, fetch), fetch)
+        got = fuse(semantic(rows.select("chunk_id", "vector"), o.vector, fetch), full_text(rows, fetch), fetch)
         top = rows.join(F.broadcast(got), "chunk_id").withColumn("fts_score", by_maximum("fts_raw")).withColumn("fts_score", F.when(F.col("fts_raw").isNotNull(), F.col("fts_score"))).withColumn("similarity_score", by_maximum("relevance")).drop("fts_raw", "relevance")
     else:
         raise ValueError(f"unknown mode {o.mode}")

@@ -88,12 +88,17 @@ def change_status(computed: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("file_path", status.alias("status"))
 
 
+def other_models(stored: DataFrame, model: str) -> DataFrame:
+    """One row: how many rows another model than this one wrote."""
+    return stored.agg(F.count_if(F.col("embedding_model") != model).alias("rows_of_other_models"))
+
+
 def model_guard(stored: DataFrame, model: str, force: bool = False) -> bool:
     """Whether the table must be cleared first; raises ModelMismatch if another model wrote it and force is off."""
-    row = stored.agg(F.count("*").alias("n"), F.count_if(F.col("embedding_model") != model).alias("other")).first()
-    if row["other"] and not force:
+    other = other_models(stored, model).first()[0]
+    if other and not force:
         raise ModelMismatch(f"the index was built with another embedding model than {model}")
-    return bool(row["other"])
+    return bool(other)
 
 
 def total_chunks(stored: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakequill.functions import text as fx
+from lakequill.functions.format import pretty_rows
 from lakequill.operators import chunking, search, store
 from lakequill.operators.assets import classify
 from lakequill.schema import EMPTY_FRONTMATTER
@@ -77,7 +78,9 @@ def f3_tag_postfilter(spark, d):
 
 
 def f4_min_score(spark, d):
-    return q1_semantic_topk(spark, d).where("score >= 0.7")
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    got = search.search(e, search.SearchOptions(mode="semantic", limit=10, min_score=0.7, vector=_query_vector(spark, d)))
+    return got.select(F.col("chunk_id").alias("vec_id"), F.round("similarity_score", 6).alias("score"))
 
 
 def q5_context(spark, d):
@@ -95,7 +98,7 @@ def w4_rerank_scores(spark, d):
 
 
 def t2_pool_size(spark, d):
-    return spark.range(1, 31).select(F.col("id").alias("n"), F.least(F.lit(48), F.greatest(F.lit(12), 4 * F.col("id"))).cast("long").alias("pool"))
+    return spark.createDataFrame([(n, search.SearchOptions(limit=n).pool()) for n in range(1, 31)], "n long, pool long")
 
 
 #: Texts that reach every break-point rule, made from orders: the test documents have plain lines alone.
@@ -113,22 +116,28 @@ def c1_breakpoints(spark, d):
 
 
 def c4_fences(spark, d):
-    p = chunking.points_of(_marked(spark, d)).where("kind = 'codeblock'")
-    w = Window.partitionBy("file_path").orderBy("pos")
-    n = p.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("pos").over(w)).where("n % 2 = 1")
-    size = _marked(spark, d).select("file_path", F.octet_length("text").alias("size"))
-    return n.join(size, "file_path").select("file_path", F.col("pos").alias("fence_start"), F.coalesce(F.col("next") + 4, F.col("size")).cast("long").alias("fence_end"))
+    return chunking.fences_of(_marked(spark, d))
 
 
 def c7_chunks(spark, d):
     return _chunks(spark, d).select("file_path", "byte_start", "byte_end")
 
 
+def _headed(spark, d):
+    """Headings of three levels among plain lines, one file for each order."""
+    line = "element_at(array('# One', '## Two', '### Three', 'plain', '', '#none', '- item'), cast(1 + l_partkey % 7 as int))"
+    lines = _t(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{line} AS line")
+    got = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line"))).alias("x"))
+    return got.select(F.col("l_orderkey").cast("string").alias("file_path"), F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
+
+
+def c9_heading_stack(spark, d):
+    return chunking.headings_of(_headed(spark, d))
+
+
 def c10_active_heading(spark, d):
-    p = chunking.points_of(_marked(spark, d))
-    heads = p.where("kind rlike '^h[1-6]$'").select("file_path", F.col("pos").alias("at"), F.col("kind").alias("h"))
-    got = p.join(heads, "file_path", "left")
-    return got.groupBy("file_path", "pos").agg(F.max_by("h", F.when(F.col("at") <= F.col("pos"), F.col("at"))).alias("k"), F.max(F.when(F.col("at") <= F.col("pos"), F.col("at"))).alias("at")).select("file_path", "pos", F.when(F.col("at").isNotNull(), F.col("k")).otherwise("").alias("heading"))
+    """The heading at the start of a chunk: files of one chunk whose first line may be one."""
+    return chunking.chunk_files(_headed(spark, d)).select("file_path", "heading_breadcrumb", F.col("heading_level").cast("long").alias("heading_level"))
 
 
 def c11_line_numbers(spark, d):
@@ -170,7 +179,7 @@ def k4_upsert(spark, d):
 
 def f9_model_guard(spark, d):
     o = _t(spark, d, "orders").select(F.when(F.col("o_orderkey") % 100 == 1, "b").otherwise("a").alias("embedding_model"))
-    return o.agg(F.count_if(F.col("embedding_model") != "a").alias("rows_of_other_models"), (F.count_if(F.col("embedding_model") != "a") > 0).alias("mismatch"))
+    return store.other_models(o, "a").withColumn("mismatch", F.lit(store.model_guard(o, "a", force=True)))
 
 
 def a1_total_chunks(spark, d):
@@ -199,8 +208,7 @@ def a9_run_counters(spark, d):
 
 
 def w2_ordinals(spark, d):
-    w = Window.partitionBy("file_path").orderBy("line_start", "line_end", "byte_start")
-    return _chunks(spark, d).select("file_path", "byte_start", F.row_number().over(w).cast("long").alias("ordinal"))
+    return search.ordinals(_chunks(spark, d), "byte_start").select("file_path", "byte_start", F.col("at").cast("long").alias("ordinal"))
 
 
 def x4_json_tags(spark, d):
@@ -244,9 +252,8 @@ def x18_pdf_classify(spark, d):
 
 
 def k8_pretty(spark, d):
-    top = q1_semantic_topk(spark, d)
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "vec_id"))
-    return top.select("vec_id", F.format_string("[%d] %d -- (score: %.2f)", n, "vec_id", "score").alias("line"))
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.concat(F.lit("v"), "vec_id").alias("file_path"), F.lit("# V").alias("heading_breadcrumb"), F.repeat(F.concat(F.col("vec_id").cast("string"), F.lit(" word ")), 30).alias("body"))
+    return pretty_rows(search.search(e, search.SearchOptions(mode="semantic", limit=10, vector=_query_vector(spark, d)))).select("block")
 
 
 def r2_event_apply(spark, d):
@@ -256,7 +263,7 @@ def r2_event_apply(spark, d):
 
 
 _NAMES = """q1_semantic_topk q1_semantic_path_filter q2_bm25_topk q3_hybrid_rrf f3_tag_postfilter f4_min_score q5_context w4_rerank_scores t2_pool_size c1_breakpoints
-c4_fences c7_chunks c10_active_heading c11_line_numbers c2_content_hash c12_chunk_bodies j1_change_detection j2_prune_orphans k4_upsert f9_model_guard a1_total_chunks a2_distinct_files
+c4_fences c7_chunks c9_heading_stack c10_active_heading c11_line_numbers c2_content_hash c12_chunk_bodies j1_change_detection j2_prune_orphans k4_upsert f9_model_guard a1_total_chunks a2_distinct_files
 a3_chunks_per_file a4_status a6_corpus_stats a9_run_counters w2_ordinals x4_json_tags x6_excerpt x7_preview x10_highlight x12_blockquote x13_media_type x14_cache_path x16_permutation_check x18_pdf_classify k8_pretty r2_event_apply""".split()
 
 
@@ -307,6 +314,10 @@ l AS (SELECT l_orderkey::VARCHAR AS file_path, {_MARK_SQL} AS line, row_number()
 p AS (SELECT file_path, pos::BIGINT AS pos, CASE WHEN line = '# One' THEN 'h1' WHEN line = '## Two' THEN 'h2' WHEN line = '```' THEN 'codeblock' WHEN line = '---' THEN 'hr' WHEN line = '- item' THEN 'list'
       WHEN line = '12. item' THEN 'numlist' WHEN line = '' AND rn < cnt THEN 'blank' ELSE 'newline' END AS kind FROM l WHERE rn > 1)
 """
+_HEADED = """
+l AS (SELECT l_orderkey::VARCHAR AS file_path, (['# One', '## Two', '### Three', 'plain', '', '#none', '- item'])[1 + l_partkey % 7] AS line, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+n AS (SELECT *, row_number() OVER w AS rn, (coalesce(sum(strlen(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos FROM l WINDOW w AS (PARTITION BY file_path ORDER BY l_linenumber, l_partkey, l_suppkey, line))
+"""
 _CHANGE = """
 o AS (SELECT l_orderkey::VARCHAR AS file_path, sha256(l_partkey::VARCHAR) AS hsh, l_linenumber, l_returnflag FROM lineitem),
 a AS (SELECT file_path, list_sort(list(DISTINCT hsh)) AS h, count(*) AS c FROM o WHERE l_linenumber > 1 OR l_returnflag <> 'R' GROUP BY 1),
@@ -351,7 +362,12 @@ SELECT vec_id, rank, round(1 - rank / greatest(n - 1, 1)::DOUBLE, 6) AS score FR
 q AS (SELECT file_path, pos, row_number() OVER (PARTITION BY file_path ORDER BY pos) AS n, lead(pos) OVER (PARTITION BY file_path ORDER BY pos) AS nxt FROM p WHERE kind = 'codeblock')
 SELECT q.file_path, pos AS fence_start, coalesce(nxt + 4, size)::BIGINT AS fence_end FROM q JOIN z ON z.file_path = q.file_path WHERE n % 2 = 1""",
         "c7_chunks": _K + "SELECT file_path, byte_start, byte_end FROM k",
-        "c10_active_heading": f"WITH {_POINTS} SELECT p.file_path, p.pos, coalesce((SELECT arg_max(x.kind, x.pos) FROM p x WHERE x.file_path = p.file_path AND x.pos <= p.pos AND x.kind IN ('h1', 'h2')), '') AS heading FROM p",
+        "c9_heading_stack": f"""WITH {_HEADED},
+h AS (SELECT file_path, pos, rn, CASE line WHEN '# One' THEN 1 WHEN '## Two' THEN 2 ELSE 3 END AS lv FROM n WHERE line IN ('# One', '## Two', '### Three')),
+m AS (SELECT *, coalesce(max(rn) FILTER (lv = 1) OVER w, 0) AS a, coalesce(max(rn) FILTER (lv = 2) OVER w, 0) AS b FROM h WINDOW w AS (PARTITION BY file_path ORDER BY rn))
+SELECT file_path, pos, lv AS heading_level, array_to_string(list_filter([CASE WHEN a > 0 THEN '# One' END, CASE WHEN lv >= 2 AND b > a THEN '## Two' END, CASE WHEN lv = 3 THEN '### Three' END], lambda x: x IS NOT NULL), ' > ') AS heading_breadcrumb FROM m""",
+        "c10_active_heading": f"""WITH {_HEADED}, f AS (SELECT file_path, string_agg(line, chr(10) ORDER BY rn) AS text, max(line) FILTER (rn = 1) AS top FROM n GROUP BY 1)
+SELECT file_path, CASE WHEN top IN ('# One', '## Two', '### Three') THEN top ELSE '' END AS heading_breadcrumb, CASE top WHEN '# One' THEN 1 WHEN '## Two' THEN 2 WHEN '### Three' THEN 3 ELSE 0 END::BIGINT AS heading_level FROM f WHERE regexp_matches(text, '[^\\s]')""",
         "c11_line_numbers": _K + "SELECT file_path, byte_start, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM k",
         "c2_content_hash": _K + f"SELECT file_path, byte_start, sha256(body || '{EMPTY_FRONTMATTER}') AS content_hash FROM k",
         "c12_chunk_bodies": _K + "SELECT file_path, byte_start, md5(body) AS body_md5, '' AS heading_breadcrumb FROM k",
@@ -376,7 +392,8 @@ SELECT q.file_path, pos AS fence_start, coalesce(nxt + 4, size)::BIGINT AS fence
         "x16_permutation_check": "WITH o AS (SELECT l_orderkey, list_sort(list(l_linenumber - 1 - (l_partkey % 9 = 0)::INT)) AS x FROM lineitem GROUP BY 1) SELECT l_orderkey, x = range(len(x)) AS ok FROM o",
         "x18_pdf_classify": """WITH t AS (SELECT o_orderkey, o_orderkey % 4 + 1 AS n, unnest(range(1, o_orderkey % 4 + 2)) AS i, 'a' || chr(7) || 'b' || chr(10) || chr(9) || o_orderpriority || ' pages of text' AS s FROM orders)
 SELECT o_orderkey, CASE WHEN sum(length(replace(substr(s, 1, (o_orderkey * i) % 21), chr(7), ''))) >= 12 * max(n) THEN 'text_first' ELSE 'needs_vision' END AS kind FROM t GROUP BY 1""",
-        "k8_pretty": f"WITH t AS ({_TOPK}) SELECT vec_id, format('[{{}}] {{}} -- (score: {{:.2f}})', row_number() OVER (ORDER BY score DESC, vec_id), vec_id, score) AS line FROM t",
+        "k8_pretty": f"""WITH t AS (SELECT vec_id, {_SIM} AS score FROM embeddings e, {_Q} ORDER BY 2 DESC, 1 LIMIT 10), u AS (SELECT *, repeat(vec_id || ' word ', 30) AS body, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM t)
+SELECT format('[{{}}] v{{}} -- # V  (score: {{:.2f}})', n, vec_id, score) || chr(10) || repeat('═', 40) || chr(10) || '# V' || chr(10) || CASE WHEN length(body) <= 200 THEN body ELSE substr(body, 1, 200) || chr(10) || '[truncated]' END AS block FROM u""",
         "r2_event_apply": """WITH e AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename_both' WHEN 'view' THEN 'modify' WHEN 'click' THEN 'remove' ELSE 'access' END AS kind, user_id FROM events),
 f AS (SELECT seq, user_id || '.md' AS path, CASE WHEN kind IN ('rename_both', 'remove') THEN 'delete' ELSE 'index' END AS op, 0 AS sub FROM e WHERE kind <> 'access' UNION ALL SELECT seq, (user_id + 1) || '.md', 'index', 1 FROM e WHERE kind = 'rename_both')
 SELECT path, arg_max(op, seq * 2 + sub) AS op, max(seq) AS seq FROM f GROUP BY 1""",

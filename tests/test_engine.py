@@ -19,15 +19,38 @@ def one(spark, col, **values):
 
 
 def test_highlight(spark):
-    assert one(spark, fx.highlight(F.col("t"), "foo bar"), t="Foo is bar") == "<mark>Foo</mark> is <mark>bar</mark>"
-    assert one(spark, fx.highlight(F.col("t"), "bar"), t="foobar bar") == "foobar <mark>bar</mark>"
-    assert one(spark, fx.highlight(F.col("t"), " "), t="<a>") == "&lt;a&gt;"
+    assert one(spark, fx.highlight(F.col("t"), "kiln ash"), t="Ash & kilns: the KILN") == "<mark>Ash</mark> &amp; kilns: the <mark>KILN</mark>"
+    assert one(spark, fx.highlight(F.col("t"), "ash"), t="washed ash,ashes") == "washed <mark>ash</mark>,ashes"
+    assert one(spark, fx.highlight(F.col("t"), "\t "), t="1 < 2 & 3 > 2") == "1 &lt; 2 &amp; 3 &gt; 2"
 
 
 def test_similarity_and_tags(spark):
-    assert [one(spark, s.similarity(F.col("d")), d=d) for d in (0.5, 0.0, 2.0)] == [0.75, 1.0, 0.0]
-    assert one(spark, s.has_tag(F.col("j"), "rust"), j='{"tags":["rust","search"]}')
-    assert not one(spark, s.has_tag(F.col("j"), "rust"), j="{}") and not one(spark, s.has_tag(F.col("j"), "a"), j='{"tags":"a"}')
+    assert [one(spark, s.similarity(F.col("d")), d=d) for d in (0.25, 1.0, 1.5, 2.5, -0.5)] == [0.875, 0.5, 0.25, 0.0, 1.0]
+    assert one(spark, s.has_tag(F.col("j"), "clay"), j='{"tags":["wool","clay"]}')
+    assert not one(spark, s.has_tag(F.col("j"), "cla"), j='{"tags":["clay"]}') and not one(spark, s.has_tag(F.col("j"), "a"), j='{"tags":"a"}')
+
+
+def test_cut_between_characters(spark):
+    for text, n in (("aé€😀" * 50, 100), ("x" * 99 + "😀z", 100), ("é" * 60, 101), ("ab", 100)):
+        data = text.encode()
+        down = next(k for k in range(min(n, len(data)), -1, -1) if k == len(data) or data[k] & 0xC0 != 0x80)
+        up = next(k for k in range(n, n + 4) if k >= len(data) or data[k] & 0xC0 != 0x80)
+        whole = len(data) <= n
+        assert one(spark, fx.excerpt(F.col("t"), n), t=text) == (text if whole else data[:down].decode() + "…")
+        assert one(spark, fx.preview(F.col("t"), n), t=text) == (text if whole else data[:up].decode() + "...")
+
+
+def test_stored_index_searches_alike(spark, tmp_path):
+    rows = [(f"k{i:02d}", " ".join(["kiln", "ash", "wool", "Clay", "é1"][(i * j) % 5] for j in range(i % 9))) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, body string")
+    s.write_index(chunks, f"file://{tmp_path}/fts")
+    for query in ("kiln ash", "CLAY!", "é1 wool nothing", "", "absent"):
+        a = [(r[0], round(r[1], 9)) for r in s.bm25(chunks, query, 12).collect()]
+        b = [(r[0], round(r[1], 9)) for r in s.bm25_indexed(spark, f"file://{tmp_path}/fts", query, 12).collect()]
+        assert a == b
+    opts = s.SearchOptions(query="kiln", mode="fts", limit=3)
+    full = chunks.selectExpr("*", "'f' file_path")
+    assert [r.chunk_id for r in s.search(full, opts).collect()] == [r.chunk_id for r in s.search(full, opts, f"file://{tmp_path}/fts").collect()]
 
 
 def test_discovery(tmp_path):
@@ -57,8 +80,8 @@ def test_retry():
 def test_index_search_and_stream(spark, tmp_path):
     root = tmp_path / "notes"
     root.mkdir()
-    (root / "rust.md").write_text("---\ntags: [rust]\n---\n# Rust\n" + "ownership borrow checker memory safety\n" * 300)
-    (root / "python.md").write_text("# Python\ndynamic typing at runtime\n")
+    (root / "clay.md").write_text("---\ntags: [clay]\n---\n# Clay\n" + "glaze recipes from wood ash and feldspar\n" * 300)
+    (root / "wool.md").write_text("# Wool\ncarding before spinning\n")
     (root / "bad.md").write_bytes(b"\xff\xfe\xff")
     store = ChunkStore(spark, f"file://{tmp_path}/store")
     run = lambda: index(spark, str(root), store, hash_embedder(16), "m1", 16)
@@ -69,26 +92,26 @@ def test_index_search_and_stream(spark, tmp_path):
     with pytest.raises(ModelMismatch):
         model_guard(store.read(), "m2")
     assert model_guard(store.read(), "m2", force=True) and not model_guard(store.read(), "m1")
-    got = s.search(store.read(), s.SearchOptions(query="borrow checker", mode="fts", limit=2, context=1)).collect()
+    got = s.search(store.read(), s.SearchOptions(query="wood ash", mode="fts", limit=2, context=1)).collect()
     assert [r["is_context"] for r in got][:2] == [False, False] and any(r["is_context"] for r in got) and got[0]["similarity_score"] == 1.0
-    tagged = s.search(store.read(), s.SearchOptions(query="typing", mode="hybrid", vector=hash_embedder(16)(["typing"])[0], tag_filter="rust")).collect()
-    assert tagged and all(r["file_path"] == "rust.md" for r in tagged)
-    order = s.search(store.read(), s.SearchOptions(query="borrow", mode="fts", limit=2, rerank=lambda q, t: list(range(len(t)))[::-1])).collect()
+    tagged = s.search(store.read(), s.SearchOptions(query="carding", mode="hybrid", vector=hash_embedder(16)(["carding"])[0], tag_filter="clay")).collect()
+    assert tagged and all(r["file_path"] == "clay.md" for r in tagged)
+    order = s.search(store.read(), s.SearchOptions(query="feldspar", mode="fts", limit=2, rerank=lambda q, t: list(range(len(t)))[::-1])).collect()
     assert order[0]["similarity_score"] == 1.0
-    lines = [json.loads(r["json"]) for r in fmt.to_json_rows(s.search(store.read(), s.SearchOptions(query="typing", mode="fts"))).collect()]
+    lines = [json.loads(r["json"]) for r in fmt.to_json_rows(s.search(store.read(), s.SearchOptions(query="carding", mode="fts"))).collect()]
     assert len(lines) == 1 and "semantic_score" not in lines[0] and "is_context" not in lines[0]
-    assert fmt.pretty_rows(s.search(store.read(), s.SearchOptions(query="typing", mode="fts"))).first()["block"].startswith("[1] python.md -- # Python  (score: 1.00)")
+    assert fmt.pretty_rows(s.search(store.read(), s.SearchOptions(query="carding", mode="fts"))).first()["block"].startswith("[1] wool.md -- # Wool  (score: 1.00)")
 
     log = tmp_path / "log"
     log.mkdir()
     (root / "new.md").write_text("# New\nfresh words\n")
-    (log / "1.json").write_text('{"seq":1,"kind":"create","path":"new.md"}\n{"seq":2,"kind":"remove","path":"python.md"}\n')
+    (log / "1.json").write_text('{"seq":1,"kind":"create","path":"new.md"}\n{"seq":2,"kind":"remove","path":"wool.md"}\n')
     from lakequill.operators.chunking import chunk_files, with_hash, with_id
     from lakequill.operators.embed import embed_chunks
 
     q = watch(spark, str(log), store, lambda p: files.read_texts(spark, str(root), p), lambda f: embed_chunks(with_id(with_hash(chunk_files(f))), hash_embedder(16), "m1", 16), str(tmp_path / "ck"), None)
     q.awaitTermination(120)
-    assert {r[0] for r in store.read().select("file_path").distinct().collect()} == {"rust.md", "new.md"}
+    assert {r[0] for r in store.read().select("file_path").distinct().collect()} == {"clay.md", "new.md"}
     (root / "new.md").unlink()
     assert run()["orphan_files_removed"] == 1
 
