@@ -116,5 +116,17 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
+#: All pairs that share a shingle, so for small tables: it grows with the square of a group.
+OP9 = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS o FROM dw UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.o)
+SELECT dw.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.o) AS component_id FROM dw JOIN r ON r.doc_id = dw.doc_id LEFT JOIN n ON n.doc_id = dw.doc_id GROUP BY dw.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op4_warc_dictionary": OP4, "op8_chat_format": OP8, "op10_decontamination": OP10}
+    return {"op9_ngram_jaccard": OP9, "op4_warc_dictionary": OP4, "op8_chat_format": OP8, "op10_decontamination": OP10}
