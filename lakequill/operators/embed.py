@@ -6,6 +6,7 @@ import hashlib
 import random
 import time
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +26,17 @@ class EmbeddingError(RuntimeError):
         self.status = status
 
 
+class Embedded(NamedTuple):
+    """What an embedder may return instead of vectors alone: also the tokens that its service counted."""
+
+    vectors: list[list[float]]
+    tokens: int = 0
+
+
+def vectors_of(got) -> list[list[float]]:
+    return got.vectors if isinstance(got, Embedded) else got
+
+
 def hash_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic stand-in: a unit vector that depends on the text alone."""
     def embed(texts):
@@ -53,19 +65,28 @@ def with_retry(embed, texts, wait=time.sleep):
 
 
 def embed_chunks(chunks: DataFrame, embed, model: str, width: int, batch: int = EMBED_BATCH) -> DataFrame:
-    """chunks with embedding_model and vector; texts go to embed in requests of `batch` at most, in order."""
+    """chunks with embedding_model, vector and request_tokens; texts go to embed in requests of `batch` at most, in order. A request's tokens stand with its first row, so that their sum counts each request once, however often tasks are tried."""
     ship(chunks.sparkSession)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("vector array<float>, tokens long")
     def vectors(body):
         import pandas as pd
 
-        out = []
+        out, used = [], []
         for i in range(0, len(body), batch):
-            got = with_retry(embed, body.iloc[i : i + batch].tolist())
-            if any(len(v) != width for v in got):
-                raise EmbeddingError(f"a vector doesn't have {width} components")
+            texts = body.iloc[i : i + batch].tolist()
+            answer = with_retry(embed, texts)
+            got = vectors_of(answer)
+            if len(got) != len(texts) or any(len(v) != width for v in got):
+                raise EmbeddingError(f"not {len(texts)} vectors of {width} components")
             out += got
-        return pd.Series(out, index=body.index)
+            used += [getattr(answer, "tokens", 0)] + [0] * (len(texts) - 1)
+        return pd.DataFrame({"vector": pd.Series(out, dtype=object), "tokens": pd.Series(used, dtype="int64")})
+
+    own = chunks.withColumn("embedding_model", F.lit(model)).withColumn("_e", vectors("body"))
+    return own.withColumn("vector", F.col("_e.vector")).withColumn("request_tokens", F.col("_e.tokens")).drop("_e")
+
 
-    return chunks.withColumn("embedding_model", F.lit(model)).withColumn("vector", vectors("body"))
+def token_usage(embedded: DataFrame) -> DataFrame:
+    """One row: the tokens of all requests."""
+    return embedded.agg(F.coalesce(F.sum("request_tokens"), F.lit(0)).alias("total_tokens"))

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakequill.operators.embed import vectors_of, with_retry
 from lakequill.schema import POOL_FACTOR, POOL_MAX, POOL_MIN, RRF_K, TAG_OVERFETCH
 
 K1, B = 1.2, 0.75
@@ -26,6 +27,13 @@ class SearchOptions:
     context: int = 0
     rerank: object | None = None
     vector: list[float] = field(default_factory=list)
+    embed: object | None = None
+
+    def query_vector(self) -> list[float]:
+        """The vector, or else the query's own by embed, a function from texts to vectors, which is asked once, with retries."""
+        if not self.vector and self.embed is not None:
+            self.vector = list(vectors_of(with_retry(self.embed, [self.query]))[0])
+        return self.vector
 
     def pool(self) -> int:
         """Rows that are fetched for the reranker."""
@@ -183,9 +191,12 @@ def is_permutation(indices, n):
     return F.coalesce((F.size(indices) == n) & (F.array_sort(indices) == F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))), F.lit(False))
 
 
-def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = None) -> DataFrame:
+def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = None, metrics=None) -> DataFrame:
     """Results with similarity_score, semantic_score, fts_score, is_context and context_for_index, in order of `ordinal`.
 
+    rerank of the options: a function from the query and the pool's bodies to their order, or an object whose order()
+    takes the query and the pool's rows. A pool of one row isn't reranked; an order that isn't whole fails the search.
+
     index_root: a full-text index that write_index stored for these chunks; it serves searches without a path filter.
     """
 
@@ -194,16 +205,18 @@ def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = N
             return bm25_indexed(chunks.sparkSession, index_root, options.query, fetch)
         return bm25(rows, options.query, fetch)
 
+    if metrics is not None:
+        metrics.add("search_queries_total")
     o = options
     rows, fetch = path_filter(chunks, o.path_filter), o.fetch_limit()
     none = F.lit(None).cast("double")
     if o.mode == "semantic":
-        top = semantic(rows, o.vector, fetch).withColumn("fts_score", none).withColumn("similarity_score", F.col("semantic_score"))
+        top = semantic(rows, o.query_vector(), fetch).withColumn("fts_score", none).withColumn("similarity_score", F.col("semantic_score"))
     elif o.mode == "fts":
         got = full_text(rows, fetch)
         top = rows.join(F.broadcast(got), "chunk_id").withColumn("semantic_score", none).withColumn("fts_score", by_maximum("fts_raw")).withColumn("similarity_score", F.col("fts_score")).drop("fts_raw")
     elif o.mode == "hybrid":
-        got = fuse(semantic(rows.select("chunk_id", "vector"), o.vector, fetch), full_text(rows, fetch), fetch)
+        got = fuse(semantic(rows.select("chunk_id", "vector"), o.query_vector(), fetch), full_text(rows, fetch), fetch)
         top = rows.join(F.broadcast(got), "chunk_id").withColumn("fts_score", by_maximum("fts_raw")).withColumn("fts_score", F.when(F.col("fts_raw").isNotNull(), F.col("fts_score"))).withColumn("similarity_score", by_maximum("relevance")).drop("fts_raw", "relevance")
     else:
         raise ValueError(f"unknown mode {o.mode}")
@@ -213,10 +226,11 @@ def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = N
     top = index(top)
     if o.rerank:
         top = top.where(F.col("result_index") < o.pool())
+        top = top.persist()
         texts = [(r["result_index"], r["body"]) for r in top.orderBy("result_index").select("result_index", "body").collect()]  # the pool: POOL_MAX rows at most
         if len(texts) > 1:
-            order = list(o.rerank(o.query, [t for _, t in texts]))
-            if len(set(order)) != len(order) or not set(order) <= set(range(len(texts))):
+            order = o.rerank.order(o.query, top) if hasattr(o.rerank, "order") else list(o.rerank(o.query, [t for _, t in texts]))
+            if sorted(order) != list(range(len(texts))):
                 raise ValueError("the reranker didn't return a permutation")
             given = chunks.sparkSession.createDataFrame([(p, texts[i][0]) for p, i in enumerate(order)], "position int, result_index int")
             top = rerank_scores(top, given).withColumn("result_index", F.col("rank")).drop("rank")

@@ -1,11 +1,15 @@
 """The chunk table: append, delete, replace, prune, counts, change detection and the model guard.
 
-A table is a folder of numbered versions with a pointer to the current one. A change reads the current version and
-writes the next, then moves the pointer, so readers never meet half a change.
+A table is a folder of row files and numbered manifests, of which the last counts. Rows are dealt to buckets by a hash
+of their file's path. A change writes the buckets that it touches, then the next manifest, so readers never meet half a
+change and the other buckets aren't read or written.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,45 +20,112 @@ class ModelMismatch(ValueError):
     """The table holds vectors of another embedding model."""
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has published the version that this change would have become."""
+
+
+#: Buckets of a new table. A change rewrites the buckets of its files, so tables of many TB want thousands.
+BUCKETS = 32
+#: Folders that appending leaves in a bucket before it is written anew, and files that a written bucket is dealt to.
+MOST_FOLDERS, SPREAD = 8, 4
+
+
 class ChunkStore:
     """The chunk table under a folder of any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
     def _versions(self) -> list[int]:
-        p = self._path(self.root)
-        if not self._fs.exists(p):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(p) if s.getPath().getName().startswith("v") and self._fs.exists(self._path(f"{s.getPath()}/_SUCCESS")))
+        return [int(n[1:-5]) for n in self._names(self.root) if n.startswith("m") and n.endswith(".json")]
 
-    def read(self) -> DataFrame:
-        """The current rows; an empty table where nothing was written."""
+    def _manifest(self, version: int) -> dict:
+        """buckets: their number; folders: the folders that hold each bucket's rows."""
+        stream = self._fs.open(self._path(f"{self.root}/m{version:09d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _current(self) -> tuple[int, dict]:
         v = self._versions()
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.root}/v{v[-1]}") if v else self.spark.createDataFrame([], CHUNKS)
+        return (v[-1], self._manifest(v[-1])) if v else (0, {"buckets": self._buckets, "folders": {}})
 
-    def _publish(self, rows: DataFrame) -> None:
-        """Write the next version; it becomes current with its success marker. The one before stays for running readers."""
+    def _rows(self, manifest: dict, only=None) -> DataFrame:
+        paths = [f"{self.root}/data/{f}/bucket={b}" for b, fs in manifest["folders"].items() if only is None or int(b) in only for f in fs]
+        return self.spark.read.schema(CHUNKS).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNKS)
+
+    def read(self) -> DataFrame:
+        """The current rows; an empty table where nothing was written."""
+        return self._rows(self._current()[1])
+
+    @staticmethod
+    def _bucket(manifest: dict):
+        return F.pmod(F.xxhash64("file_path"), F.lit(manifest["buckets"])).cast("int")
+
+    def _touched(self, manifest: dict, paths: DataFrame) -> set[int]:
+        return {r[0] for r in paths.select(self._bucket(manifest)).distinct().collect()}  # a row for each bucket at most
+
+    def _write(self, version: int, manifest: dict, rows: DataFrame, rewritten: set[int], added: set[int] = frozenset()) -> None:
+        """Publish version + 1: rows are all that the rewritten buckets hold and what the added ones get besides."""
+        folder = f"v{version + 1}-{uuid.uuid4().hex[:8]}"
+        dealt = rows.select([f.name for f in CHUNKS]).withColumn("bucket", self._bucket(manifest)).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+        written = {int(n[7:]) for n in self._names(f"{self.root}/data/{folder}") if n.startswith("bucket=")}
+        folders = {b: fs for b, fs in manifest["folders"].items() if int(b) not in rewritten}
+        for b in written & (rewritten | added):
+            folders[str(b)] = folders.get(str(b), []) + [folder]
+        self._publish(version + 1, {"buckets": manifest["buckets"], "folders": folders})
+
+    def _publish(self, version: int, manifest: dict) -> None:
+        """The manifest makes its version current. The version before stays for running readers; what only older ones hold goes."""
+        final, draft = self._path(f"{self.root}/m{version:09d}.json"), self._path(f"{self.root}/.draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise ConcurrentChange(f"version {version} was published by another writer")
         v = self._versions()
-        rows.select([f.name for f in CHUNKS]).write.mode("overwrite").parquet(f"{self.root}/v{(v[-1] if v else 0) + 1}")
-        for old in v[:-1]:
-            self._fs.delete(self._path(f"{self.root}/v{old}"), True)
+        held = {(f, b) for x in v[-2:] for b, fs in self._manifest(x)["folders"].items() for f in fs}
+        for old in v[:-2]:
+            for b, fs in self._manifest(old)["folders"].items():
+                for f in fs:
+                    if (f, b) not in held:
+                        self._fs.delete(self._path(f"{self.root}/data/{f}/bucket={b}"), True)
+            self._fs.delete(self._path(f"{self.root}/m{old:09d}.json"), False)
 
     def append(self, rows: DataFrame) -> None:
-        self._publish(self.read().unionByName(rows.select([f.name for f in CHUNKS])))
+        """Add rows without reading others, but for buckets of many folders, which are written anew; nothing for no rows."""
+        version, manifest = self._current()
+        touched = self._touched(manifest, rows)
+        full = {b for b in touched if len(manifest["folders"].get(str(b), [])) >= MOST_FOLDERS}
+        if touched:
+            fresh = rows.select([f.name for f in CHUNKS])
+            self._write(version, manifest, self._rows(manifest, full).unionByName(fresh) if full else fresh, full, touched - full)
 
     def delete_files(self, paths: DataFrame) -> None:
-        self._publish(self.read().join(paths.select("file_path").distinct(), "file_path", "left_anti"))
+        self.replace(self.spark.createDataFrame([], CHUNKS), paths)
 
     def delete_all(self) -> None:
-        self._publish(self.spark.createDataFrame([], CHUNKS))
+        version, manifest = self._current()
+        self._publish(version + 1, {"buckets": manifest["buckets"], "folders": {}})
 
     def replace(self, rows: DataFrame, paths: DataFrame | None = None) -> None:
         """Put rows in place of all rows of the same files, and of the files in paths."""
-        self._publish(upsert(self.read(), rows, paths))
+        version, manifest = self._current()
+        touched = self._touched(manifest, rows)
+        if paths is not None:
+            touched |= {b for b in self._touched(manifest, paths) if str(b) in manifest["folders"]}
+        if touched:
+            self._write(version, manifest, upsert(self._rows(manifest, touched), rows, paths), touched)
 
     def prune(self, discovered: DataFrame) -> int:
         """Delete markdown files that weren't discovered; how many went."""

@@ -13,7 +13,11 @@ from lakequill.functions import text as fx
 from lakequill.functions.format import pretty_rows
 from lakequill.operators import chunking, search, store
 from lakequill.operators.assets import classify
+from lakequill.operators.embed import Embedded, embed_chunks, token_usage
+from lakequill.operators.metrics import bucket_counts
+from lakequill.plans import pages
 from lakequill.schema import EMPTY_FRONTMATTER
+from lakequill.sources import files
 from lakequill.streaming.apply import last_operations
 
 TERMS = "worthless token thorreou"
@@ -262,7 +266,51 @@ def r2_event_apply(spark, d):
     return last_operations(e)
 
 
-_NAMES = """q1_semantic_topk q1_semantic_path_filter q2_bm25_topk q3_hybrid_rrf f3_tag_postfilter f4_min_score q5_context w4_rerank_scores t2_pool_size c1_breakpoints
+def s3_exclude_globs(spark, d):
+    return _files(spark, d).select("file_path", files.excluded(F.col("file_path"), ["src1/**", "*5.md"]).alias("gone"))
+
+
+def f7_inside_root(spark, d):
+    path = F.concat(F.lit("/"), F.col("file_path"))
+    return _files(spark, d).select("file_path", files.inside(path, "/src1").alias("under"))
+
+
+def f8_web_results(spark, d):
+    rows = _t(spark, d, "part").select(F.col("p_name").alias("file_path"), F.col("p_brand").alias("heading_breadcrumb"), F.repeat(F.concat("p_name", F.lit(" & "), "p_brand", F.lit("; ")), 9).alias("body"), (F.col("p_partkey") / 8).alias("similarity_score"), (F.col("p_partkey") % 3 == 0).alias("is_context"))
+    return pages.result_rows(rows, "brand steel")
+
+
+def k11_histogram(spark, d):
+    return bucket_counts(_t(spark, d, "events"), "value", "indexing_throughput_chunks_per_second")
+
+
+def k12_index_page(spark, d):
+    return pages.index_rows(_chunks(spark, d))
+
+
+def a7_token_usage(spark, d):
+    rows = _t(spark, d, "documents").where("text is not null").select(F.col("text").alias("body"))
+    return token_usage(embed_chunks(rows, lambda texts: Embedded([[1.0]] * len(texts), sum(len(t.encode()) for t in texts)), "m", 1))
+
+
+def x1_sql_quote(spark, d):
+    return _t(spark, d, "part").select("p_partkey", fx.sql_quote(F.concat("p_name", F.lit("'s '"), "p_brand")).alias("quoted"))
+
+
+def x5_json_or_empty(spark, d):
+    broken = F.when(F.col("event_id") % 3 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(F.col("event_id") % 3 == 1, F.col("props"))
+    return _t(spark, d, "events").select("event_id", fx.json_or_empty(broken).alias("json"))
+
+
+def x15_rerank_extract(spark, d):
+    k = F.col("o_orderkey")
+    own = F.format_string('{"indices": [%d,%d,0]}', k % 3, k % 5)
+    answer = F.when(k % 4 == 0, own).when(k % 4 == 1, F.concat(F.lit("Sure:\n"), own, F.lit(" done"))).when(k % 4 == 2, F.lit("none")).otherwise('{"other": 1}')
+    return _t(spark, d, "orders").select("o_orderkey", F.array_join(fx.rerank_indices(answer).cast("array<string>"), ",").alias("indices"))
+
+
+_NAMES = """s3_exclude_globs f7_inside_root f8_web_results k11_histogram k12_index_page a7_token_usage x1_sql_quote x5_json_or_empty x15_rerank_extract
+q1_semantic_topk q1_semantic_path_filter q2_bm25_topk q3_hybrid_rrf f3_tag_postfilter f4_min_score q5_context w4_rerank_scores t2_pool_size c1_breakpoints
 c4_fences c7_chunks c9_heading_stack c10_active_heading c11_line_numbers c2_content_hash c12_chunk_bodies j1_change_detection j2_prune_orphans k4_upsert f9_model_guard a1_total_chunks a2_distinct_files
 a3_chunks_per_file a4_status a6_corpus_stats a9_run_counters w2_ordinals x4_json_tags x6_excerpt x7_preview x10_highlight x12_blockquote x13_media_type x14_cache_path x16_permutation_check x18_pdf_classify k8_pretty r2_event_apply""".split()
 
@@ -339,6 +387,15 @@ def oracle_sql():
     rows = f"rows_ AS (SELECT vec_id AS chunk_id, embedding, {_PATH} AS file_path, text AS body, lang FROM embeddings JOIN documents ON doc_id = vec_id)"
     sem = f"SELECT chunk_id, {_COS.format(a='e.embedding', b='q.embedding')} AS semantic_score"
     return {
+        "s3_exclude_globs": f"SELECT file_path, file_path LIKE 'src1/%' OR file_path LIKE '%5.md' AS gone FROM (SELECT {_PATH} AS file_path FROM documents)",
+        "f7_inside_root": f"SELECT {_PATH} AS file_path, source = 'src1' AS under FROM documents",
+        "f8_web_results": "WITH b AS (SELECT *, repeat(p_name || ' & ' || p_brand || '; ', 9) AS body FROM part WHERE p_partkey % 3 <> 0), c AS (SELECT *, CASE WHEN length(body) <= 300 THEN body ELSE substr(body, 1, 300) || '...' END AS cut FROM b) SELECT p_name AS file_path, p_brand AS heading_breadcrumb, regexp_replace(replace(cut, '&', '&amp;'), '\\b(brand|steel)\\b', '<mark>\\1</mark>', 'gi') AS chunk_html, round(p_partkey / 8.0::DOUBLE, 2) AS similarity_score FROM c",
+        "k11_histogram": "SELECT le, count(*) FILTER (value <= (CASE le WHEN '+Inf' THEN 'inf' ELSE le END)::DOUBLE) AS n FROM events, (SELECT unnest(['1', '5', '10', '25', '50', '100', '250', '500', '+Inf']) AS le) GROUP BY le",
+        "k12_index_page": _K + "SELECT file_path, count(*) AS chunk_count, '—' AS last_indexed FROM k GROUP BY 1",
+        "a7_token_usage": "SELECT sum(strlen(text))::BIGINT AS total_tokens FROM documents",
+        "x1_sql_quote": "SELECT p_partkey, replace(p_name || chr(39) || 's ' || chr(39) || p_brand, chr(39), chr(39) || chr(39)) AS quoted FROM part",
+        "x5_json_or_empty": "WITH t AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN substr(props, 1, length(props) - 1) WHEN 1 THEN props END AS j FROM events) SELECT event_id, CASE WHEN json_valid(j) THEN j ELSE '{}' END AS json FROM t",
+        "x15_rerank_extract": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN (o_orderkey % 3) || ',' || (o_orderkey % 5) || ',0' END AS indices FROM orders",
         "q1_semantic_topk": _TOPK,
         "q1_semantic_path_filter": f"WITH {rows} SELECT chunk_id, file_path, round({_SIM}, 6) AS score FROM rows_ e, {_Q} WHERE file_path LIKE 'src1%' ORDER BY {_SIM} DESC, chunk_id LIMIT 10",
         "q2_bm25_topk": f"WITH rows_ AS (SELECT doc_id AS chunk_id, text AS body FROM documents), {_BM25} SELECT chunk_id, round(fts_raw, 6) AS fts_raw, round(fts_raw / max(fts_raw) OVER (), 6) AS score FROM b",

@@ -6,15 +6,17 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.functions.format import summary
-from lakequill.operators import assets as asset_ops
+from lakequill.operators.assets import AssetCache, synthetic_texts
 from lakequill.operators.chunking import chunk_files, with_hash, with_id
 from lakequill.operators.embed import embed_chunks
+from lakequill.operators.metrics import Metrics
 from lakequill.operators.store import ChunkStore, change_status, model_guard
+from lakequill.operators.store import status as totals
 from lakequill.sources import files
 
 
-def index(spark: SparkSession, root: str, store: ChunkStore, embed, model: str, width: int, force: bool = False, extractor=None, exclude=()) -> dict[str, int]:
-    """Bring the store up to date with the folder; the six counters. Files are chunked in one job, only changed ones are embedded, and all changes are published at once."""
+def index(spark: SparkSession, root: str, store: ChunkStore, embed, model: str, width: int, force: bool = False, extractor=None, exclude=(), cache: AssetCache | None = None, metrics: Metrics | None = None) -> dict[str, int]:
+    """Bring the store up to date with the folder; the six counters. Files are chunked in one job, only changed ones are embedded, and all changes are published at once. Assets whose bytes the cache knows aren't extracted again."""
     if model_guard(store.read(), model, force):
         store.delete_all()
     found = files.markdown_files(root)
@@ -24,15 +26,11 @@ def index(spark: SparkSession, root: str, store: ChunkStore, embed, model: str,
     chunks = with_id(with_hash(chunk_files(good)))
     n_assets, asset_paths = 0, files.asset_files(root, exclude=exclude) if extractor is not None else []
     if asset_paths:
-        raw = files.read_bytes(spark, root, asset_paths).cache()
-        bad = raw.where("error is not null").select("file_path", "error").first()
+        assets = synthetic_texts(spark, root, asset_paths, extractor, cache)
+        bad = assets.where("error is not null").orderBy("file_path").first()
         if bad:
-            raise ValueError(f"{bad[0]}: {bad[1]}")
-        composed = asset_ops.extract(raw, extractor).cache()
-        bad = composed.where("error is not null").select("file_path", "error").first()
-        if bad:
-            raise ValueError(f"{bad[0]}: {bad[1]}")
-        chunks = chunks.unionByName(with_id(with_hash(chunk_files(asset_ops.compose(composed)))))
+            raise ValueError(f"{bad['file_path']}: {bad['error']}")
+        chunks = chunks.unionByName(with_id(with_hash(chunk_files(assets))))
         n_assets = len(asset_paths)
     chunks = chunks.cache()
     status = change_status(chunks, store.read())
@@ -43,6 +41,11 @@ def index(spark: SparkSession, root: str, store: ChunkStore, embed, model: str,
     if embedded or emptied.join(store.read().select("file_path"), "file_path", "left_semi").limit(1).count():
         store.replace(fresh, stale.unionAll(emptied))
     pruned = store.prune(spark.createDataFrame([(p,) for p in found], "file_path string"))
+    if metrics is not None:
+        now = totals(store.read()).first()
+        metrics.add("chunks_indexed_total", embedded)
+        metrics.set("chunks_total", now["total_chunks"])
+        metrics.set("files_total", now["total_files"])
     for df in (read, chunks, stale, fresh):
         df.unpersist()
     return summary({"files_indexed": n_files, "assets_indexed": n_assets, "chunks_embedded": embedded, "chunks_skipped": total - embedded, "errors": errors, "orphan_files_removed": pruned})

@@ -106,8 +106,15 @@ def excluded(path, globs):
     return out
 
 
-def read_texts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(file_path, text, error): strictly decoded UTF-8; files that can't be read or decoded have an error and no text."""
+def _dealt(spark: SparkSession, paths) -> DataFrame:
+    """(file_path) of a list, dealt to tasks of some 64 files, or of a DataFrame, dealt by path."""
+    if isinstance(paths, DataFrame):
+        return paths.select("file_path").repartition(spark.sparkContext.defaultParallelism, "file_path")
+    return spark.createDataFrame([(p,) for p in paths], "file_path string").repartition(max(1, min(len(paths), 1 + len(paths) // 64)))
+
+
+def read_texts(spark: SparkSession, root: str, paths) -> DataFrame:
+    """(file_path, text, error) of a list or a DataFrame of paths: strictly decoded UTF-8; files that can't be read or decoded have an error and no text."""
     ship(spark)
     base = os.path.abspath(root)
 
@@ -124,12 +131,11 @@ def read_texts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
                     errors.append(str(e))
             yield pdf.assign(text=texts, error=errors)
 
-    listed = spark.createDataFrame([(p,) for p in paths], "file_path string").repartition(max(1, min(len(paths), 1 + len(paths) // 64)))
-    return listed.mapInPandas(run, "file_path string, text string, error string")
+    return _dealt(spark, paths).mapInPandas(run, "file_path string, text string, error string")
 
 
-def read_bytes(spark: SparkSession, root: str, paths: list[str], max_bytes: int = MAX_ASSET_BYTES) -> DataFrame:
-    """(file_path, length, sha256, content, error): a file that lies outside root or is longer than max_bytes isn't read."""
+def read_bytes(spark: SparkSession, root: str, paths, max_bytes: int = MAX_ASSET_BYTES, content: bool = True) -> DataFrame:
+    """(file_path, length, sha256, content, error) of a list or a DataFrame of paths: a file that lies outside root or is longer than max_bytes isn't read. Without content that column is null."""
     ship(spark)
     base = os.path.realpath(root)
 
@@ -148,16 +154,15 @@ def read_bytes(spark: SparkSession, root: str, paths: list[str], max_bytes: int
                         raise ValueError(f"{n} bytes exceed {max_bytes}")
                     with open(full, "rb") as f:
                         data = f.read()
-                    rows.append((n, hashlib.sha256(data).hexdigest(), data, None))
+                    rows.append((n, hashlib.sha256(data).hexdigest(), data if content else None, None))
                 except (OSError, ValueError) as e:
                     rows.append((None, None, None, str(e)))
             yield pdf.assign(**{k: [r[i] for r in rows] for i, k in enumerate(("length", "sha256", "content", "error"))})
 
-    listed = spark.createDataFrame([(p,) for p in paths], "file_path string")
-    return listed.mapInPandas(run, "file_path string, length long, sha256 string, content binary, error string")
+    return _dealt(spark, paths).mapInPandas(run, "file_path string, length long, sha256 string, content binary, error string")
 
 
 def cached(assets: DataFrame, cache: DataFrame) -> DataFrame:
     """assets with the synthetic text that cache (sha256, synthetic) holds; blank entries count as missing."""
-    kept = cache.where(F.trim("synthetic") != "").select("sha256", "synthetic").dropDuplicates(["sha256"])
+    kept = cache.where(F.col("synthetic").rlike(r"\S")).groupBy("sha256").agg(F.min("synthetic").alias("synthetic"))
     return assets.join(kept, "sha256", "left")

@@ -7,9 +7,18 @@ through the same functions as the batch run, and publishes once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import os
+import signal
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakequill.operators.assets import AssetCache, synthetic_texts
+from lakequill.operators.metrics import Metrics
+from lakequill.operators.search import write_index
+from lakequill.operators.store import status
+from lakequill.sources import files
 from lakequill.sources.files import is_tracked
 
 EVENTS = "seq long, kind string, path string, new_path string"
@@ -26,30 +35,72 @@ def last_operations(events: DataFrame) -> DataFrame:
     return last.select("path", F.col("m.op").alias("op"), F.col("m.seq").alias("seq"))
 
 
-def apply_batch(events: DataFrame, store, read_texts, chunk_and_embed) -> tuple[int, int]:
-    """Apply one batch; (files indexed, files deleted). A file that is gone, empty or unreadable by now is deleted or, when unreadable, left as it was."""
+def reader(spark: SparkSession, root: str, extractor=None, cache: AssetCache | None = None, exclude=()):
+    """What apply_batch reads the files below root with: markdown as it is, assets as synthetic text unless an exclude glob names them. Without an extractor asset events change nothing."""
+    def read(paths: DataFrame) -> DataFrame:
+        md = F.col("file_path").rlike(r"\.md$")
+        texts = files.read_texts(spark, root, paths.where(md))
+        if extractor is None:
+            return texts
+        return texts.unionByName(synthetic_texts(spark, root, paths.where(~md & ~files.excluded(F.col("file_path"), exclude)), extractor, cache))
+
+    return read
+
+
+def apply_batch(events: DataFrame, store, read, chunk_and_embed, metrics: Metrics | None = None, index_root: str | None = None) -> tuple[int, int]:
+    """Apply one batch; (files indexed, files deleted). read turns (file_path) rows into (file_path, text, error).
+
+    Files are always embedded anew. One that is empty by now is deleted, one that can't be read or extracted stays as it
+    was. If anything changed, the full-text index under index_root is written anew, once for the batch.
+    """
+    metrics, began = metrics or Metrics(), time.monotonic()
+    events = events.cache()
     ops = last_operations(events).cache()
-    paths = [r["path"] for r in ops.where("op = 'index'").select("path").toLocalIterator()]
-    read = read_texts(paths).cache()
-    fresh = chunk_and_embed(read.where("error is null")).cache()
+    got = read(ops.where("op = 'index'").select(F.col("path").alias("file_path"))).cache()
+    fresh = chunk_and_embed(got.where("error is null")).cache()
     gone = ops.where("op = 'delete'").select(F.col("path").alias("file_path"))
-    done = read.where("error is null").select("file_path")
-    n, deleted = done.count(), gone.count()
+    done = got.where("error is null").select("file_path")
+    n, deleted, chunks = done.count(), gone.count(), fresh.count()
     if n or deleted:
         store.replace(fresh, gone.unionAll(done))
-    for df in (ops, read, fresh):
+        if index_root:
+            write_index(store.read(), index_root)
+    metrics.add("file_events_processed_total", events.count())
+    metrics.add("chunks_indexed_total", chunks)
+    metrics.add("embedding_errors_total", got.where("error is not null").count())
+    totals = status(store.read()).first()
+    metrics.set("chunks_total", totals["total_chunks"])
+    metrics.set("files_total", totals["total_files"])
+    if chunks:
+        metrics.observe("indexing_throughput_chunks_per_second", chunks / max(time.monotonic() - began, 1e-9))
+    for df in (events, ops, got, fresh):
         df.unpersist()
     return n, deleted
 
 
-def watch(spark, log_dir: str, store, read_texts, chunk_and_embed, checkpoint: str, interval: str | None = "500 milliseconds", max_files: int = 256):
+def watch(spark, log_dir: str, store, read, chunk_and_embed, checkpoint: str, interval: str | None = "500 milliseconds", max_files: int = 256, metrics: Metrics | None = None, index_root: str | None = None):
     """A streaming query over a folder of event files. Applying a batch again gives the same table, so a restart repeats none of its effects."""
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(log_dir)
-    run = events.writeStream.foreachBatch(lambda df, _: apply_batch(df, store, read_texts, chunk_and_embed)).option("checkpointLocation", checkpoint)
+    run = events.writeStream.foreachBatch(lambda df, _: apply_batch(df, store, read, chunk_and_embed, metrics, index_root)).option("checkpointLocation", checkpoint)
     return (run.trigger(processingTime=interval) if interval else run.trigger(availableNow=True)).start()
 
 
-def latest_event(events: DataFrame, key: str, order: str, tie: str) -> DataFrame:
-    """The last row of each key, by order and then tie."""
-    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(tie))
-    return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def run_until_signal(query, poll: float = 1.0) -> None:
+    """Wait for a streaming query. SIGINT or SIGTERM stops it once its batch is through; a second SIGINT ends the process with 130."""
+    asked = []
+
+    def handle(number, _):
+        if asked and number == signal.SIGINT:
+            os._exit(130)
+        asked.append(number)
+
+    before = {x: signal.signal(x, handle) for x in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        while query.isActive and not asked:
+            query.awaitTermination(poll)
+        while query.isActive and query.status["isTriggerActive"]:
+            time.sleep(min(poll, 0.1))
+        query.stop()
+    finally:
+        for x, h in before.items():
+            signal.signal(x, h)
