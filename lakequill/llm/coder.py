@@ -33,10 +33,11 @@ CHUNKS, PIECES, STALE = 300_000, 150_000, 6
 _CODERS: dict[str, "Coder"] = {}
 
 
-def coder(path: str) -> "Coder":
-    """This process's coder for a tokenizer file."""
+def coder(path: str, room: int = 1) -> "Coder":
+    """This process's coder for a tokenizer file. Its memos hold room times the usual entries, by the largest room asked for."""
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
+    _CODERS[path].room = max(_CODERS[path].room, room)
     return _CODERS[path]
 
 
@@ -68,7 +69,7 @@ class Coder:
         self.model, self.split = self.library.model, self.library.pre_tokenizer
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.missed = 0
+        self.missed, self.room = 0, 1
 
     def _ids(self, piece: str) -> bytes:
         """Ids of a piece in byte letters as little-endian unsigned 32-bit integers."""
@@ -78,7 +79,7 @@ class Coder:
         ids = self.pieces.get(raw)
         if ids is None:
             ids = self._ids(raw.encode().decode("latin-1").translate(_LETTERS))
-            if len(self.pieces) < PIECES and len(raw) <= 64:
+            if len(self.pieces) < self.room * PIECES and len(raw) <= 64:
                 self.pieces[raw] = ids
         return ids
 
@@ -106,7 +107,7 @@ class Coder:
         first = cuts[0]
         if whole and (not first or first[-1].isspace()):
             return None
-        memo = self.chunks
+        memo, most = self.chunks, self.room * CHUNKS
         get, out, missed = memo.get, [self._chunk(first)], 0
         for c in cuts[1:]:
             ids = get(c)
@@ -115,11 +116,11 @@ class Coder:
                     return None
                 ids = self._chunk(" " + c)
                 missed += 1
-                if len(memo) < CHUNKS and len(c) <= 64 and not c[-1].isspace():
+                if len(memo) < most and len(c) <= 64 and not c[-1].isspace():
                     memo[c] = ids
             out.append(ids)
         self.missed += missed
-        if self.missed > STALE * CHUNKS:
+        if self.missed > STALE * most:
             self.missed = 0
             memo.clear()
             self.pieces.clear()

@@ -22,6 +22,10 @@ _TAIL = struct.Struct("<IIQQQ8s")  # bits, block size, tokens, documents, footer
 NO_ID = -(2**63)
 
 
+#: How much larger than usual the encoding memos of the writing workers are; nothing else of size lies in their memory.
+ROOM = 2
+
+
 def bits_for(vocabulary: int) -> int:
     return max(1, (max(1, vocabulary) - 1).bit_length())
 
@@ -149,7 +153,7 @@ def _write(root: str, tokenizer: str, bits: int, end_id: int):
 
         from lakequill.llm.coder import coder
 
-        encode, end = coder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = coder(tokenizer, ROOM).encode, np.array([end_id], "<u4").tobytes()
 
         def docs():
             for batch in batches:
