@@ -28,8 +28,9 @@ def _byte_letters() -> dict[int, int]:
 
 _LETTERS = _byte_letters()
 _STOPS = tuple(".,!?;:")
-#: Entries of a worker's memos. A full one takes no more, and is emptied once it has missed as often as STALE times its size.
-CHUNKS, PIECES, STALE = 300_000, 150_000, 6
+#: Entries of the two memos of a worker: words as they follow a space, and other pieces. Each has a young and an old half: what
+#: is met again moves to the young one, and once that is full the old half goes and the young one takes its place.
+WORDS, PIECES = 400_000, 50_000
 _CODERS: dict[str, "Coder"] = {}
 
 
@@ -44,9 +45,32 @@ def coder(path: str, room: int = 1) -> "Coder":
 def forget() -> None:
     """Empty the memos of this process's coders; the tokenizers stay."""
     for c in _CODERS.values():
-        c.chunks.clear()
-        c.pieces.clear()
-        c.missed = 0
+        c.words, c.pieces = Memo(), Memo()
+
+
+class Memo:
+    """Ids by text, in a young and an old half."""
+
+    __slots__ = ("young", "old")
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def again(self, key: str, most: int) -> bytes | None:
+        """The old half's ids of a key that isn't in the young half; they move there."""
+        ids = self.old.get(key)
+        if ids is not None:
+            self.put(key, ids, most)
+        return ids
+
+    def put(self, key: str, ids: bytes, most: int) -> None:
+        """Hold a key's ids, of most entries in both halves; a long key isn't held."""
+        if len(key) > 64:
+            return
+        if len(self.young) >= most // 2:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
 
 
 class Coder:
@@ -67,30 +91,50 @@ class Coder:
             and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
         )
         self.model, self.split = self.library.model, self.library.pre_tokenizer
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.missed, self.room = 0, 1
+        self.words, self.pieces, self.room = Memo(), Memo(), 1
 
     def _ids(self, piece: str) -> bytes:
         """Ids of a piece in byte letters as little-endian unsigned 32-bit integers."""
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _piece(self, raw: str) -> bytes:
-        ids = self.pieces.get(raw)
+        if raw[0] == " " and raw[1:].isalpha():
+            return self._word(raw[1:])
+        ids = self.pieces.young.get(raw)
+        if ids is None:
+            ids = self.pieces.again(raw, self.room * PIECES)
+            if ids is None:
+                ids = self._ids(raw.encode().decode("latin-1").translate(_LETTERS))
+                self.pieces.put(raw, ids, self.room * PIECES)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters below U+0250 as they follow a space."""
+        ids = self.words.young.get(word)
+        if ids is None:
+            ids = self.words.again(word, self.room * WORDS)
+            if ids is None:
+                ids = self._ids("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)))
+                self.words.put(word, ids, self.room * WORDS)
+        return ids
+
+    def _cut(self, cut: str) -> bytes:
+        """Ids of a cut as it follows a space; of letters and a stop, only the letters are held."""
+        if cut.isascii() or max(cut) < "\u0250":
+            if cut.isalpha():
+                return self._word(cut)
+            if cut[-1] in _STOPS and cut[:-1].isalpha():
+                return self._word(cut[:-1]) + self._piece(cut[-1])
+        ids = self.words.again(cut, self.room * WORDS)
         if ids is None:
-            ids = self._ids(raw.encode().decode("latin-1").translate(_LETTERS))
-            if len(self.pieces) < self.room * PIECES and len(raw) <= 64:
-                self.pieces[raw] = ids
+            ids = self._chunk(" " + cut)
+            if not cut[-1].isspace():
+                self.words.put(cut, ids, self.room * WORDS)
         return ids
 
     def _chunk(self, text: str) -> bytes:
         if not (text.isascii() or max(text) < "\u0250"):
             return b"".join(self._ids(p) for p, _ in self.split.pre_tokenize_str(text))
-        word = text[1:] if text[0] == " " else text
-        if word.isalpha():
-            return self._piece(text)
-        if word[-1:] in _STOPS and word[:-1].isalpha():
-            return self._piece(text[:-1]) + self._piece(text[-1])
         return b"".join(map(self._piece, _SPLIT.findall(text)))
 
     def encode(self, text: str) -> bytes:
@@ -107,21 +151,14 @@ class Coder:
         first = cuts[0]
         if whole and (not first or first[-1].isspace()):
             return None
-        memo, most = self.chunks, self.room * CHUNKS
-        get, out, missed = memo.get, [self._chunk(first)], 0
+        words = self.words
+        get, out = words.young.get, [self._chunk(first)]
         for c in cuts[1:]:
             ids = get(c)
             if ids is None:
                 if whole and (not c or c[0].isspace() or c[-1].isspace()):
                     return None
-                ids = self._chunk(" " + c)
-                missed += 1
-                if len(memo) < most and len(c) <= 64 and not c[-1].isspace():
-                    memo[c] = ids
+                ids = self._cut(c)
+                get = words.young.get
             out.append(ids)
-        self.missed += missed
-        if self.missed > STALE * most:
-            self.missed = 0
-            memo.clear()
-            self.pieces.clear()
         return b"".join(out)

@@ -154,6 +154,23 @@ def test_tokens(spark):
     assert packing.pack(frame(spark, []), path).count() == 0 and tokenfile.read_documents(tokenfile.write_tokens(frame(spark, []), path, 50_257)).count() == 0
 
 
+def test_memos_that_turn_over(monkeypatch):
+    """Ids stay the library's while the memos' halves change places, and neither memo outgrows its bound."""
+    from lakequill.llm import coder as module
+
+    monkeypatch.setattr(module, "WORDS", 40)
+    monkeypatch.setattr(module, "PIECES", 10)
+    own = module.Coder(tokenizer_path())
+    rng = random.Random(3)
+    letters = ["a", "b", "\u00e9", "\u00df", "7", ".", ",", "'s", "\n", "\t", "  ", "\u6f22", "\u0301", "\U0001f600", "!", "\u00a0", "x" * 70]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(300)]
+    for _ in range(400):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 60)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids, text
+        for memo, most in ((own.words, 40), (own.pieces, 10)):
+            assert len(memo.young) <= most // 2 and len(memo.old) <= most // 2
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_bits(bits):
     x = np.random.default_rng(1).integers(0, 2**bits, 1000, dtype=np.uint64)
