@@ -2,7 +2,7 @@
 
 The library splits a text into pieces and merges within each piece, so a text's ids are its pieces' ids in order.
 A space between two characters that aren't white space always begins a piece, whatever stands around it. Texts
-are cut there, the library splits and encodes each distinct cut once, and the ids are kept in a bounded memo.
+are cut there, and the ids of cuts are kept in bounded memos, so that frequent ones are encoded seldom.
 Tokenizers of another build, and texts that hold a special token, are encoded whole by the library.
 """
 
