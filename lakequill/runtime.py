@@ -1,15 +1,17 @@
-"""Shipping this package to Python workers."""
+"""Shipping this package to Python workers, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
+_OWN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +25,42 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_ROOT))
     sc.addPyFile(str(out))
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master without it (tests), an own one."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='lakequill-shared-')}")
+        d = _OWN[0]
+    return d.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lakequill-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder as Parquet and reread: lineage ends here and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lq_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_lq_path", None)
+        if path:
+            drop_path(t.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
