@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill import runtime
+from lakequill.runtime import discard, drop_path, shared_dir, shared_path, stored  # noqa: F401  the operators' names for them
 
-_OWN: list[str] = []
 #: Rows up to which a table of a few numbers is broadcast after it has been counted.
 BROADCAST_ROWS = 100_000
 #: Bytes of an Arrow batch that a Python worker is sent; a longer text makes a batch of its own.
@@ -22,51 +21,12 @@ HOT = 4096
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand the package to the Python workers, and bound the bytes of the batches that they are sent, not only the rows."""
+    """Hand the package to the Python workers, and bound the bytes of the batches that the session sends them where it sets nothing."""
     runtime.ship(spark)
-    if spark.sparkContext.getConf().get(_BATCH_CONF, None) is None:  # a size of the user's own stays
+    if not spark._jsparkSession.conf().contains(_BATCH_CONF):  # a size of the session's own stays
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master without it (tests), an own one."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _OWN:
-            _OWN.append(f"file://{tempfile.mkdtemp(prefix='lakequill-shared-')}")
-        d = _OWN[0]
-    return d.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lakequill-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and reread: lineage ends here and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lq_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_lq_path", None)
-        if path:
-            drop_path(t.sparkSession, path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def spread_join(many: DataFrame, one: DataFrame, key: str, rows: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """many joined with one, which has a row for each key; keys that many holds more than HOT times are dealt to several tasks.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakequill.llm import ann, chat, decontam, ngram_join, packing, secrets, token_counts, tokenfile, toxicity, warc
+from lakequill.llm import ann, chat, decontam, ngram_join, packing, secrets, sharding, spelling, token_counts, tokenfile, toxicity, trie, warc
 from lakequill.llm.common import table
 
 
@@ -58,8 +58,23 @@ def op10_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_hilbert_shards(spark, sf_dir):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    cut = sharding.shards(docs, ["lang", "source", "size"], ["doc_id", "text_crc32"])
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_pstable_neighbours, op4_warc_dictionary, op5_token_files, op6_token_counts, op7_toxicity, op8_chat_format, op9_ngram_jaccard, op10_decontamination)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_pstable_neighbours, op4_warc_dictionary, op5_token_files, op6_token_counts, op7_toxicity, op8_chat_format, op9_ngram_jaccard, op10_decontamination, op11_hilbert_shards, op12_prefix_trie, op13_spelling_variants)} | {"pipeline": pipeline}
 
 
 def pipeline(spark, sf_dir):
