@@ -1,16 +1,22 @@
 """Secret scans with structural confirmation.
 
 Base patterns find assignments, access key ids and long hex runs. Beside them, base64 and hex candidates are
-decoded and reported only when their bytes parse: DER key encodings whose nested lengths fill their parents
-exactly, OpenSSH private keys, and signed tokens: a header that is a JSON object and names an algorithm other than
-"none", a payload and a signature that decode. Public keys are findings of their own kind and are not redacted. Lines
-of one key may be parted by line feeds, by their escapes in JSON (backslash-n), and be indented.
+decoded and reported only when their bytes parse: DER key encodings and PKCS#12 stores whose nested lengths fill their
+parents exactly, OpenSSH private keys, whole PEM files in base64 (as secret manifests hold them) around one of these, and
+signed tokens: a header that is a JSON object and names an algorithm other than "none", a payload and a signature that
+decode. Public keys are findings of their own kind and are not redacted. Lines of one key may be parted by line feeds,
+by their escapes in JSON (backslash-n), and be indented.
+
+A run of base64 lines is joined once and decoded at most once for each of the four places in a quantum where a key may
+begin; keys are then parsed by offset, by as many headers as they have parts. So a text of any shape costs time in step
+with its length.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -45,83 +51,106 @@ OIDS = {  # fixed values: object identifiers of key algorithms, as their DER con
     "2a864886f70d01010a": "rsa-pss",
 }
 PBE = "2a864886f70d0105"  # fixed value: password-based encryption, before its number in PKCS#5
+PKCS12 = ("2a864886f70d010701", "2a864886f70d010702")  # fixed values: data and signed data, which a PKCS#12 store wraps
+SSH_MAGIC, SSH_BASE64, PEM_BASE64 = b"openssh-key-v1\0", "b3BlbnNzaC1rZXkt", "LS0tLS1CRUdJTi"
+PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]+-----\s([A-Za-z0-9+/=\s]*)-----END [A-Z0-9 ]+-----")
+#: Items that one level of a key may have; no encoding has as many.
+MOST_ITEMS = 16
 
 
-def der_items(b: bytes) -> list[tuple[int, bytes]] | None:
-    """The (tag, content) items of DER bytes, or None unless the lengths fill b exactly."""
-    out, i = [], 0
-    while i < len(b):
-        if i + 2 > len(b):
+def _der_header(b: bytes, i: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, begin and end of the content) of the DER item at i, or None if it isn't one that ends by end."""
+    if i + 2 > end:
+        return None
+    tag, n = b[i], b[i + 1]
+    i += 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or i + k > end or b[i] == 0:
             return None
-        tag, n = b[i], b[i + 1]
-        i += 2
-        if n & 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4 or i + k > len(b) or b[i] == 0:
-                return None
-            n, i = int.from_bytes(b[i : i + k], "big"), i + k
-            if n < 0x80:
-                return None
-        if i + n > len(b):
+        n, i = int.from_bytes(b[i : i + k], "big"), i + k
+        if n < 0x80:
+            return None
+    return (tag, i, i + n) if i + n <= end else None
+
+
+def der_items(b: bytes, i: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, begin, end) of the contents of the DER items that fill b from i to end exactly; None unless they do, and are MOST_ITEMS at most."""
+    end, out = len(b) if end is None else end, []
+    while i < end:
+        item = _der_header(b, i, end)
+        if item is None or len(out) == MOST_ITEMS:
             return None
-        out.append((tag, b[i : i + n]))
-        i += n
+        out.append(item)
+        i = item[2]
     return out
 
 
-def der_key_kind(b: bytes) -> str | None:
-    """der_key for a PKCS#1, SEC 1, DSA, PKCS#8 or encrypted PKCS#8 private key, public_key for PKCS#1 or SubjectPublicKeyInfo, by nested lengths and types."""
-    if len(b) < 32 or b[0] != 0x30:
-        return None
-    top = der_items(b)
-    if not top or len(top) != 1:
-        return None
-    items = der_items(top[0][1])
-    if not items:
+def der_key_at(b: bytes, at: int) -> tuple[str, int] | None:
+    """(kind, end) of the DER key at a place of b: der_key for a PKCS#1, SEC 1, DSA, PKCS#8 or encrypted PKCS#8 private key or a PKCS#12 store, public_key for PKCS#1 or SubjectPublicKeyInfo, by nested lengths and types."""
+    top = _der_header(b, at, len(b))
+    if top is None or top[0] != 0x30 or top[2] - at < 32:
         return None
-    tags = [t for t, _ in items]
-    if tags[0] == 0x02 and items[0][1] in (b"\0", b"\1"):
-        if len(tags) >= 9 and set(tags[:9]) == {0x02} and len(items[1][1]) >= 32:
+    items = der_items(b, top[1], top[2])
+    kind = _kind_of(b, items) if items else None
+    return (kind, top[2]) if kind else None
+
+
+def _kind_of(b: bytes, items: list[tuple[int, int, int]]) -> str | None:
+    tags, size = [t for t, _, _ in items], [e - i for _, i, e in items]
+    first = b[items[0][1] : items[0][1] + 2] if tags[0] == 0x02 and size[0] == 1 else None
+    if first is not None and first[0] in (0, 1):
+        if len(tags) >= 9 and set(tags[:9]) == {0x02} and size[1] >= 32:
             return "der_key"
-        if tags == [0x02] * 6 and items[0][1] == b"\0" and len(items[1][1]) >= 64:
+        if tags == [0x02] * 6 and first[0] == 0 and size[1] >= 64:
             return "der_key"
-        if len(tags) >= 2 and tags[1] == 0x04 and items[0][1] == b"\1" and 16 <= len(items[1][1]) <= 66:
+        if len(tags) >= 2 and tags[1] == 0x04 and first[0] == 1 and 16 <= size[1] <= 66:
             return "der_key"
         if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
-            return "der_key" if _names_algorithm(items[1][1]) else None
+            return "der_key" if _names(b, items[1], OIDS) else None
+    if first is not None and first[0] == 3 and tags[1:2] == [0x30] and len(tags) <= 3:
+        return "der_key" if _names(b, items[1], PKCS12) else None
     if tags == [0x30, 0x03]:
-        return "public_key" if _names_algorithm(items[0][1]) else None
+        return "public_key" if _names(b, items[0], OIDS) else None
     if tags == [0x30, 0x04]:
-        inner = der_items(items[0][1])
-        return "der_key" if inner and inner[0][0] == 0x06 and inner[0][1].hex().startswith(PBE) else None
-    return "public_key" if tags == [0x02, 0x02] and len(items[0][1]) >= 64 and len(items[1][1]) <= 8 else None
+        inner = der_items(b, *items[0][1:])
+        return "der_key" if inner and inner[0][0] == 0x06 and b[inner[0][1] : inner[0][2]].hex().startswith(PBE) else None
+    return "public_key" if tags == [0x02, 0x02] and size[0] >= 64 and size[1] <= 8 else None
 
 
-def _names_algorithm(b: bytes) -> bool:
-    items = der_items(b)
-    return bool(items) and items[0][0] == 0x06 and items[0][1].hex() in OIDS
+def _names(b: bytes, item: tuple[int, int, int], oids) -> bool:
+    """Whether an item's content begins with one of the object identifiers."""
+    items = der_items(b, item[1], item[2])
+    return bool(items) and items[0][0] == 0x06 and b[items[0][1] : min(items[0][2], items[0][1] + 16)].hex() in oids
 
 
-def is_ssh_key(b: bytes) -> bool:
-    """Whether b is an OpenSSH private key: its magic, then cipher, kdf, options and at least one public key as length-prefixed strings."""
-    magic = b"openssh-key-v1\0"
-    if not b.startswith(magic):
-        return False
-    i, got = len(magic), 0
-    for k in range(5):
-        if k == 3:
-            if i + 4 > len(b) or not 1 <= int.from_bytes(b[i : i + 4], "big") <= 16:
-                return False
-            i += 4
-            continue
+def ssh_key_end(b: bytes, at: int) -> int | None:
+    """The end of the OpenSSH private key at a place of b: its magic, then cipher, kdf and options, the count of keys, a public key for each and the private part as length-prefixed strings."""
+    if not b.startswith(SSH_MAGIC, at):
+        return None
+    i, left = at + len(SSH_MAGIC), 3
+    counted = False
+    while True:
         if i + 4 > len(b):
-            return False
+            return None
         n = int.from_bytes(b[i : i + 4], "big")
-        i += 4 + n
+        i += 4
+        if left == 0 and not counted:
+            if not 1 <= n <= 16:
+                return None
+            left, counted = n + 1, True
+            continue
+        i, left = i + n, left - 1
         if i > len(b):
-            return False
-        got += 1
-    return got == 4
+            return None
+        if left == 0 and counted:
+            return i
+
+
+def key_at(b: bytes, at: int) -> tuple[str, int] | None:
+    """(kind, end) of the key that begins at a place of b."""
+    end = ssh_key_end(b, at)
+    return ("ssh_key", end) if end is not None else der_key_at(b, at)
 
 
 def is_token_header(part: str) -> bool:
@@ -136,7 +165,7 @@ def is_token_header(part: str) -> bool:
 def is_signed_token(token: str) -> bool:
     """Whether header, payload and signature of a dotted token decode, and the header names how it is signed."""
     head, payload, signature = token.split(".")
-    return is_token_header(head) and all(len(x) % 4 != 1 for x in (payload, signature))
+    return is_token_header(head) and _decoded(payload) is not None and _decoded(signature) is not None
 
 
 def _decoded(s: str) -> bytes | None:
@@ -147,44 +176,71 @@ def _decoded(s: str) -> bytes | None:
         return None
 
 
-def _der_size(s: str) -> int | None:
-    """Bytes of the DER item that base64 text s begins with, by its header."""
-    b = _decoded(s[:8])
-    if b is None or len(b) < 6 or b[0] != 0x30:
-        return None
-    if b[1] < 0x80:
-        return 2 + b[1]
-    k = b[1] & 0x7F
-    return 2 + k + int.from_bytes(b[2 : 2 + k], "big") if 1 <= k <= 4 else None
-
-
-def _key_at(text: str, at: int, end: int) -> tuple[int, str] | None:
-    """(end, kind) of the key that starts at a place of a run of base64 lines, which ends at end, or None.
-
-    The outer length of a DER key says where it ends, so lines that follow (an end marker, prose) are left out and no
-    more than the key is read; it has to end where a line or the run does. An OpenSSH key, whose end nothing states,
-    runs to the run's end.
-    """
-    if text.startswith("b3BlbnNzaC1rZXkt", at):
-        if (stop := text.find("-----END", at, end)) >= 0:
-            end = stop
-            while _PART.match(text, end - 1) or text[end - 2 : end] in ("\\n", "\\r"):
-                end -= 2 if text[end - 2 : end] in ("\\n", "\\r") else 1
-        lines = _PART.sub("", text[at:end])
-        raw = _decoded(lines[: len(lines.rstrip("=")) // 4 * 4])
-        return (end, "ssh_key") if raw and is_ssh_key(raw) else None
-    size = _der_size(text[at : at + 8])
-    if not size or size < 32:
+class _Run:
+    """The lines of a run of base64, joined once; bytes from any place of them, decoded once for each place in a quantum."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.end, self.starts, self.stops, lines, size, at = end, {}, {}, [], 0, start
+        while at < end:
+            brk = _PART.search(text, at, end)
+            stop = brk.start() if brk else end
+            line = text[at:stop].rstrip("=")
+            self.starts[at] = size
+            size += len(line)
+            self.stops[size] = stop
+            lines.append((at, size - len(line), line))
+            at = brk.end() if brk else end
+        self.lines = lines
+        self.joined = "".join(x for *_, x in lines).replace("-", "+").replace("_", "/")
+        self._bytes: dict[int, bytes] = {}
+
+    def decoded(self, offset: int) -> tuple[bytes, int]:
+        """(bytes, place): what the characters from an offset of the joined lines stand for begins at that place of the bytes."""
+        way = offset % 4
+        if way not in self._bytes:
+            s = self.joined[way:]
+            s = s[: len(s) - (len(s) % 4 == 1)]
+            self._bytes[way] = base64.b64decode(s + "=" * (-len(s) % 4))
+        return self._bytes[way], (offset - way) // 4 * 3
+
+    def text_place(self, offset: int) -> int:
+        """Where in the text the character at an offset of the joined lines lies."""
+        i = bisect.bisect_right(self.lines, offset, key=lambda x: x[1]) - 1
+        return self.lines[i][0] + offset - self.lines[i][1]
+
+    def keys(self, places):
+        """(start, end, kind) of the keys that begin at places of the text, and end where a line or the run does; none begins inside another."""
+        past = 0
+        for at in places:
+            offset = self.starts.get(at)
+            if offset is None or at < past or self.joined[offset : offset + 1] not in ("M", "b"):
+                continue
+            b, i = self.decoded(offset)
+            key = key_at(b, i)
+            if key and (stop := self.stops.get(offset - (-(key[1] - i) * 4 // 3))) is not None:
+                past = stop
+                yield at, stop, key[0]
+
+    def files(self):
+        """(start, end, kind) of the PEM files that hold a key and lie in the run as base64."""
+        for way in {m.start() % 4 for m in re.finditer(PEM_BASE64, self.joined)}:
+            b, _ = self.decoded(way)
+            for m in PEM.finditer(b):
+                body = _decoded(b"".join(m[1].split()).decode())
+                key = key_at(body, 0) if body else None
+                if key and key[1] == len(body):
+                    a, e = way + m.start() * 4 // 3, way - (-m.end() * 4 // 3)
+                    stop = self.end if e >= len(self.joined) else self.text_place(e - 1) + 1
+                    yield self.text_place(a), stop, key[0]
+
+
+def _hex_key(run: str) -> str | None:
+    """The kind of the key that a whole run of hex digits is."""
+    if len(run) % 2 or not run.lower().startswith(("30", SSH_MAGIC.hex())):
         return None
-    need, chars = -(-size * 4 // 3), []
-    while need > 0 and at < end:
-        brk = _PART.search(text, at, end)
-        stop = brk.start() if brk else end
-        chars.append(text[at:stop].rstrip("="))
-        need -= len(chars[-1])
-        done, at = stop, brk.end() if brk else end
-    kind = der_key_kind(raw) if need == 0 and (raw := _decoded("".join(chars))) else None
-    return (done, kind) if kind else None
+    b = bytes.fromhex(run)
+    key = key_at(b, 0)
+    return key[0] if key and key[1] == len(b) else None
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -197,17 +253,17 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "ey" in text or "ew" in text:
         found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
-    if "M" in text or "b3BlbnNzaC1rZXkt" in text:  # base64 of a DER sequence's tag, and of the OpenSSH magic
+    if "M" in text or SSH_BASE64 in text or PEM_BASE64[:3] in text:  # base64 of a DER sequence's tag, and of the OpenSSH magic
         for m in BASE64.finditer(text):
-            end = m.start()
-            for at in [m.start(), *(x.start() for x in KEY_START.finditer(text, m.start() + 1, m.end()))]:
-                if at >= end and text[at] in "Mb" and (key := _key_at(text, at, m.end())):
-                    end = key[0]
-                    found.append((at, *key))
-    if "30" in text:
-        for m in ANY_HEX.finditer(text):
-            if m[0].startswith("30") and len(m[0]) % 2 == 0 and (kind := der_key_kind(bytes.fromhex(m[0]))):
-                found.append((m.start(), m.end(), kind))
+            places = [m.start(), *(x.start() for x in KEY_START.finditer(text, m.start() + 1, m.end()))]
+            places = [x for x in places if text[x] in "Mb"]
+            coded = PEM_BASE64[:3] in m[0]  # its other letters may stand on the next line
+            if places or coded:
+                run = _Run(text, m.start(), m.end())
+                found += run.keys(places)
+                found += run.files() if coded else ()
+    if "30" in text or "6f" in text or "6F" in text:
+        found += [(m.start(), m.end(), kind) for m in ANY_HEX.finditer(text) if (kind := _hex_key(m[0]))]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -246,23 +302,26 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.withColumnRenamed("_lq_id", "doc_id")
 
 
-def _redact(batches):
-    import pyarrow as pa
+def _redact(at: int):
+    def run(batches):
+        import pyarrow as pa
 
-    trim_worker()
-    for batch in batches:
-        out = []
-        for text in batch.column("_lq_text").to_pylist():
-            if text is None:
-                out.append(None)
-                continue
-            parts, at = [], 0
-            for s, e, k in (x for x in scan(text) if x[2] != "public_key"):
-                if s >= at:
-                    parts += [text[at:s], f"[{k}]"]
-                at = max(at, e)
-            out.append("".join(parts) + text[at:])
-        yield batch.set_column(batch.schema.get_field_index("_lq_text"), "_lq_text", pa.array(out, pa.string()))
+        trim_worker()
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                if text is None:
+                    out.append(None)
+                    continue
+                parts, past = [], 0
+                for s, e, k in (x for x in scan(text) if x[2] != "public_key"):
+                    if s >= past:
+                        parts += [text[past:s], f"[{k}]"]
+                    past = max(past, e)
+                out.append("".join(parts) + text[past:])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return run
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -271,6 +330,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Overlapping findings are replaced once, under the name of the first.
     """
     ship(docs.sparkSession)
-    schema = docs.withColumn("_lq_text", F.col(text).cast("string")).schema
-    done = docs.withColumn("_lq_text", F.col(text).cast("string")).mapInArrow(_redact, schema)
-    return done.select(*[F.col("_lq_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    read = docs.withColumn(text, F.col(text).cast("string"))
+    return read.mapInArrow(_redact(docs.columns.index(text)), read.schema)
