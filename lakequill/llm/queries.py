@@ -143,5 +143,67 @@ SELECT dw.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.o) AS
 """
 
 
+#: crc32 by its table, which a rule makes: one row, t.
+CRC_TABLE = "tab AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS t FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    """SQL for the crc32 of a text's UTF-8 bytes, where tab is in scope."""
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT), lambda c, b: xor(tab.t[1 + (xor(c, b) & 255)], c >> 8)))"
+
+
+def _cell(dim: str) -> str:
+    """SQL for (value, cell of 16) of a column: the sixteenth of the rows in which the value begins."""
+    return f"{dim}_ AS (SELECT {dim}, CASE WHEN {dim} IS NULL THEN 0 ELSE (coalesce(sum(n) OVER (ORDER BY {dim} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16 // sum(n) OVER ())::INT END AS c FROM (SELECT {dim}, count(*) AS n FROM d GROUP BY 1))"
+
+
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, lang, source, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {_crc("coalesce(text, '')")} AS crc FROM documents, tab),
+{_cell("lang")}, {_cell("source")}, {_cell("size")},
+e AS (SELECT d.*, lang_.c AS a, source_.c AS b, size_.c AS c FROM d JOIN lang_ ON lang_.lang IS NOT DISTINCT FROM d.lang JOIN source_ ON source_.source IS NOT DISTINCT FROM d.source JOIN size_ ON size_.size = d.size),
+-- the coordinates follow the curve's turns, a bit q and an axis i at a time
+u AS (SELECT DISTINCT a, b, c, a AS x, b AS y, c AS z, 0 AS k FROM e
+  UNION ALL SELECT a, b, c, xor(x, CASE WHEN v & q <> 0 THEN q - 1 ELSE xor(x, v) & (q - 1) END), CASE WHEN k % 3 = 1 AND v & q = 0 THEN xor(y, xor(x, v) & (q - 1)) ELSE y END, CASE WHEN k % 3 = 2 AND v & q = 0 THEN xor(z, xor(x, v) & (q - 1)) ELSE z END, k + 1
+  FROM (SELECT *, 8 >> (k // 3) AS q, CASE k % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS v FROM u WHERE k < 9)),
+h AS (SELECT a, b, c, list_sum(list_transform(range(1, 13), lambda m: (list_sum(bits[1:m]) % 2) * (1 << (12 - m)))) AS h
+      FROM (SELECT a, b, c, list_transform(range(12), lambda m: ((CASE m % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE z END) >> (3 - m // 3)) & 1) AS bits FROM u WHERE k = 9)),
+r AS (SELECT e.*, row_number() OVER (ORDER BY h.h, doc_id NULLS FIRST, crc) - 1 AS place, count(*) OVER () AS n FROM e JOIN h USING (a, b, c))
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place * 8 // n)::INT AS shard, place - min(place) OVER (PARTITION BY place * 8 // n) AS slot, NULL::INT AS grown_shard FROM r
+"""
+
+#: All pairs of a node and one below it, so for small tables: it grows with the square of a conversation.
+OP12 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), tab),
+r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos < h UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h),
+n AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS size, string_agg(md5(role || chr(10) || text)) OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+g AS (SELECT path, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth > 1 THEN substr(path, 1, length(path) - 33) WHEN depth = 1 THEN '' END AS up FROM n GROUP BY path, depth),
+k AS (SELECT up, count(*) AS n FROM g WHERE depth > 0 GROUP BY up),
+b AS (SELECT DISTINCT x.path, y.path AS below FROM n x JOIN n y ON x.conv_id = y.conv_id AND x.depth <= y.depth),
+s AS (SELECT b.path, sum((g.n_convs - 1) * g.size)::BIGINT AS saved, count(*) FILTER (k.n IS NULL) AS leaves FROM b JOIN g ON g.path = b.below LEFT JOIN k ON k.up = g.path GROUP BY 1),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, depth) AS path FROM n GROUP BY 1) GROUP BY 1)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g JOIN s ON s.path = g.path LEFT JOIN g p ON p.path = g.up LEFT JOIN k ON k.up = g.path LEFT JOIN e ON e.path = g.path
+"""
+
+OP13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents),
+h AS (SELECT w, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM o, tab WHERE length(w) >= 7),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM x WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.cut UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.cut),
+f AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'o': -n, 'b': b}}) AS best, max(n) AS m FROM p JOIN v ON v.word = p.b GROUP BY 1),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN best END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+r AS (SELECT word, word AS root FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, r.root, g.n, g.n_near, g.form_n FROM g JOIN r ON r.word = g.word JOIN g z ON z.word = r.root WHERE z.form IS NULL
+"""
+
+
 def oracle_sql():
-    return {"op9_ngram_jaccard": OP9, "op4_warc_dictionary": OP4, "op8_chat_format": OP8, "op10_decontamination": OP10}
+    return {"op9_ngram_jaccard": OP9, "op4_warc_dictionary": OP4, "op8_chat_format": OP8, "op10_decontamination": OP10, "op11_hilbert_shards": OP11, "op12_prefix_trie": OP12, "op13_spelling_variants": OP13}
