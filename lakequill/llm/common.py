@@ -45,6 +45,28 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, rows: DataFrame | Non
     return left.join(right, [key, "_i"], how).drop("_i")
 
 
+def paired_join(x: DataFrame, y: DataFrame, keys: list[str], rows: DataFrame, condition, spread: str) -> DataFrame:
+    """x and y joined on keys and a condition over the aliases x and y, both with many rows of a key: a hot key's pairs are dealt to a square of tasks.
+
+    rows: (keys, rows), how often a key is held at most. A key of s times HOT rows is cut into s parts on either side, by the
+    column spread, and each part of one side meets each part of the other in one task.
+    """
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    hot = stored(rows.where(F.col("rows") > HOT).select(*keys, F.ceil(F.col("rows") / HOT).cast("long").alias("_s")), "hot-pairs")
+    n = hot.count()
+    if n:
+        hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        parts = F.coalesce(F.col("_s"), F.lit(1).cast("long"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        own = F.pmod(F.xxhash64(F.lit(7), spread), parts)
+        x = x.join(hot, keys, "left").withColumn("_i", own).withColumn("_j", every).drop("_s")
+        y = y.join(hot, keys, "left").withColumn("_j", own).withColumn("_i", every).drop("_s")
+        same += [F.col("x._i") == F.col("y._i"), F.col("x._j") == F.col("y._j")]
+    for c in same:
+        condition = c & condition
+    return x.alias("x").join(y.alias("y"), condition)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """What the optimizer takes df to measure; nothing is run."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

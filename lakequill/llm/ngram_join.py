@@ -18,6 +18,8 @@ parts, both only over pairs whose ends are still in different groups, and both w
 * Nodes of different hubs are joined by their prefix shingles. In a shingle's list the commonest hub's nodes
   are compared with the others' only, never with each other.
 
+In both joins a pair is left out at once where 256 parities of the two sets, which each node carries, differ in more
+places than the members of linked sets may; a shingle or difference that many nodes hold is dealt to a square of tasks.
 Candidates of both are verified on the whole sets. The components are exact.
 """
 
@@ -27,13 +29,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import discard, ship, size_in_bytes, spread_join, stored, text_or_empty, trim_worker
+from lakequill.llm import common
+from lakequill.llm.common import discard, paired_join, ship, size_in_bytes, spread_join, stored, text_or_empty, trim_worker
 from lakequill.llm.components import components
 
 #: Bits of the frequency sketch's index, at least and at most: 2**bits counters of two bytes where it is used.
 SKETCH_BITS = (24, 26)
-#: Highest level that a node may choose.
+#: Highest level that a node may choose: prefixes are lengthened by two shingles at most.
 MAX_LEVEL = 3
+#: The parities of a set's members, by which pairs of sets that differ too much are left out in the join itself.
+_WORDS = ["w0", "w1", "w2", "w3"]
 #: Bits of the Bloom filter of wanted sets, at least and at most.
 BLOOM_BITS = (16, 30)
 #: Rows of one shingle that a task looks at together; a longer list is taken in parts.
@@ -86,26 +91,28 @@ def _nodes(width: int, seed: int, bits: int, slices: int):
     def run(batches):
         import pyarrow as pa
 
-        from lakequill.llm.shingles import set_signature
+        from lakequill.llm.shingles import parities, set_signature
 
         trim_worker()
         sketch = np.zeros(1 << bits, np.uint32)
         shift, any_row = np.uint64(64 - bits), False
         for batch in batches:
-            ids, n, a, b = batch.column("doc_id").to_pylist(), [], [], []
+            ids, n, a, b, bits_of = batch.column("doc_id").to_pylist(), [], [], [], []
             for x in _read(batch, width, seed):
                 np.add.at(sketch, (x >> shift).astype(np.int64), np.uint32(1))
                 k, k2 = set_signature(x)
                 n.append(len(x))
                 a.append(k)
                 b.append(k2)
+                bits_of.append(parities(x))
             any_row |= bool(ids)
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "k", "k2", "slice", "counts"])
+            w = np.array(bits_of, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(w[:, i]) for i in range(4)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "k", "k2", *_WORDS, "slice", "counts"])
         if any_row:
             parts = [_squeeze(x.tobytes()) for x in np.split(sketch, slices)]
             none = [None] * slices
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "k", "k2", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int32()), *(pa.array(none, pa.int64()) for _ in range(6)), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "k", "k2", *_WORDS, "slice", "counts"])
 
     return run
 
@@ -259,6 +266,12 @@ def _overlap(n, m, pct: int):
     return F.ceil(pct * (n + m) / (100 + pct))
 
 
+def _may_link(n, m, pct: int):
+    """Whether the parities of x and y leave room for a link of sets of n and m shingles: they differ in no more members than it allows."""
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in _WORDS[1:]), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    return differ <= n + m - 2 * _overlap(n, m, pct)
+
+
 class _Verifier:
     """Exact checks of candidate pairs against the whole shingle sets."""
 
@@ -303,10 +316,10 @@ class _Verifier:
         return out
 
 
-def _around_hubs(stars: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
+def _around_hubs(stars: DataFrame, groups: DataFrame, words: DataFrame, pct: int) -> DataFrame:
     """Candidate pairs (a, b) of different groups among the nodes around each hub, by a prefix join of their differences from it.
 
-    stars: as verified, those with a difference only. groups: (k, g) of every node in a group. Of x and y at least one doesn't link to the
+    stars: as verified, those with a difference only. groups: (k, g) of every node in a group. words: (k, w0 to w3) of every node. Of x and y at least one doesn't link to the
     hub, being in different groups; shingles that no such node's difference holds, or only one node's, can't be shared.
     """
     far_hubs = stars.where(~F.col("linked")).select("b").distinct()
@@ -319,17 +332,17 @@ def _around_hubs(stars: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
     held = rows.groupBy("b", "t").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked")).where("df > 1 and not all_linked").select("b", "t", "df")
     of_node = Window.partitionBy("b", "k")
     rows = rows.join(held, ["b", "t"]).withColumn("left_over", F.count("*").over(of_node) - F.row_number().over(of_node.orderBy("df", "t")) + 1)
-    rows = stored(rows.where(F.col("left_over") >= F.col("least")).drop("df", "least"), "differences")
-    x, y = rows.where(~F.col("linked")).alias("x"), rows.alias("y")
+    rows = stored(rows.where(F.col("left_over") >= F.col("least")).drop("df", "least").join(words, "k"), "differences")
     need = _overlap(F.col("x.n"), F.col("y.n"), pct) + F.col("x.hub_n") - F.col("x.c") - F.col("y.c")
-    return x.join(
-        y,
-        (F.col("x.b") == F.col("y.b")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.g") != F.col("y.g")) & (F.col("y.linked") | (F.col("x.k") < F.col("y.k")))
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (F.least("x.left_over", "y.left_over") >= need),
-    ).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    wanted = (
+        (F.col("x.g") != F.col("y.g")) & (F.col("y.linked") | (F.col("x.k") < F.col("y.k")))
+        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (F.least("x.left_over", "y.left_over") >= need) & _may_link(F.col("x.n"), F.col("y.n"), pct)
+    )
+    sizes = rows.groupBy("b", "t").agg(F.count("*").alias("rows"))
+    return paired_join(rows.where(~F.col("linked")), rows, ["b", "t"], sizes, wanted, "k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
-def _between_hubs(shared: DataFrame, groups: DataFrame, hubs: DataFrame, pct: int) -> DataFrame:
+def _between_hubs(shared: DataFrame, groups: DataFrame, hubs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
     """Candidate pairs (a, b), a being the larger, of different groups and different hubs, by multi-match prefixes."""
     tagged = shared.join(groups, "k", "left").join(hubs, "k", "left").select("token", "k", "n", "rest", F.coalesce("g", "k").alias("g"), F.coalesce("hub", "k").alias("hub"))
     tagged = stored(tagged.distinct(), "tagged")
@@ -340,22 +353,22 @@ def _between_hubs(shared: DataFrame, groups: DataFrame, hubs: DataFrame, pct: in
     kept = spread_join(tagged, lists.select("token", "most"), "token", lists.select("token", "rows"))
     kept = kept.select("token", "k", "n", "g", "hub", (F.col("hub") == F.col("most")).alias("usual"), position.alias("p"), F.col("rest").bitwiseAND(3).alias("l"))
     # r: prefix shingles before this one that another group holds too; no other can be shared across groups
-    kept = stored(kept.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("p")) - 1), "between")
+    kept = stored(kept.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("p")) - 1).join(words, "k"), "between")
     discard(tagged)
+    sizes = stored(kept.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > common.HOT), "hot-tokens")
 
     def matches(x, y):
-        x, y = x.alias("x"), y.alias("y")
         need_probe = F.ceil(pct * F.col("x.n") / 100)
         need_index = F.ceil(2 * pct * F.col("y.n") / (100 + pct))
         left_over = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-        found = x.join(
-            y,
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.hub") != F.col("y.hub"))
+        wanted = (
+            (F.col("x.g") != F.col("y.g")) & (F.col("x.hub") != F.col("y.hub"))
             & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.k") > F.col("y.k"))))
             & (F.col("y.n") * 100 >= F.col("x.n") * pct)
             & (F.col("x.p") < F.col("x.n") - need_probe + F.col("x.l")) & (F.col("y.p") < F.col("y.n") - need_index + F.col("x.l"))
-            & (F.least("x.r", "y.r") + left_over >= _overlap(F.col("x.n"), F.col("y.n"), pct)),
+            & (F.least("x.r", "y.r") + left_over >= _overlap(F.col("x.n"), F.col("y.n"), pct)) & _may_link(F.col("x.n"), F.col("y.n"), pct)
         )
+        found = paired_join(x, y, ["token"], sizes, wanted, "k")
         return found.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.l").alias("l"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.p").alias("p"), F.col("y.p").alias("q"))
 
     others = kept.where(~F.col("usual"))
@@ -385,9 +398,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     bits, slices = _sketch_shape(docs)
     seed = 0
     while True:
-        found = stored(docs.mapInArrow(_nodes(width, seed, bits, slices), "doc_id long, n int, k long, k2 long, slice int, counts binary"), "nodes")
-        rows = found.where("slice is null").select("doc_id", "n", "k", "k2")
-        grouped = rows.where("n > 0").groupBy("k").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), F.count("*").alias("rows"))
+        found = stored(docs.mapInArrow(_nodes(width, seed, bits, slices), f"doc_id long, n int, k long, k2 long, {' long, '.join(_WORDS)} long, slice int, counts binary"), "nodes")
+        rows = found.where("slice is null").select("doc_id", "n", "k", "k2", *_WORDS)
+        grouped = rows.where("n > 0").groupBy("k").agg(F.max("n").alias("n"), F.min("doc_id").alias("first_id"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), F.count("*").alias("rows"), *(F.first(w).alias(w) for w in _WORDS))
         classes = stored(grouped.withColumn("h", F.xxhash64("first_id")), "classes")
         if not classes.where("lo <> hi").limit(1).count():
             break
@@ -419,7 +432,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     groups = roots.select(F.col("node").alias("k"), F.col("component").alias("g"))
     around = stars.where(F.col("delta").isNotNull())
-    pairs = _around_hubs(around, groups, pct).unionAll(_between_hubs(shared, groups, around.select(F.col("a").alias("k"), F.col("b").alias("hub")), pct))
+    words = classes.select("k", *_WORDS)
+    pairs = _around_hubs(around, groups, words, pct).unionAll(_between_hubs(shared, groups, around.select(F.col("a").alias("k"), F.col("b").alias("hub")), words, pct))
     more = verify.links(stored(pairs, "pairs"), "links")
 
     merged = stored(components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b").withColumnRenamed("node", "k"), "merged")

@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = []
 #: Bytes of text hashed at a time; a longer document makes a block of its own.
 BLOCK = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK + 1)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, np.uint64)
-            down = np.full(size, _INV, np.uint64)
-            up[0] = down[0] = 1
-            _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
-    return _POWERS[0], _POWERS[1]
+#: Bytes up to which words are hashed together, eight bytes at a time; longer ones each by a keyed digest.
+LONG_WORD = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +27,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in data (UTF-8 bytes of documents laid end to end), and how many words begin before each offset in starts_at."""
+def word_hashes(data: np.ndarray, starts_at: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in data (UTF-8 bytes of documents laid end to end), and how many words begin before each offset in starts_at.
+
+    A word's bytes go through the mixing function eight at a time, each step's result into the next, from a start that
+    seed and length make: no sum of terms, so words with equal letters in other places don't cancel out.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(starts_at), np.int64)
-    low = _LOWER[data]
-    word = ~_SEP[low]
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[data]
+    word = ~_SEP[low[:n]]
     cut = np.zeros(n + 1, bool)
     cut[starts_at] = True
     begins = word.copy()
@@ -49,12 +46,19 @@ def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np
     ends = word.copy()
     ends[:-1] &= ~word[1:] | cut[1:n]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(n + 1)
+    size = e - s
+    eights = np.ndarray((n + 1,), "<u8", low, strides=(1,))  # eight bytes from every place on
+    start = np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & (2**64 - 1))
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[low] * up[:n], out=total[1:])
-        h = (total[e] - total[s]) * down[s]
-        h = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ start)
+        rows = np.flatnonzero(size <= LONG_WORD)
+        left, at = size[rows], s[rows]
+        while len(rows):
+            h[rows] = mix(h[rows] ^ (eights[at] & _KEEP[np.minimum(left, 8)])) + start
+            more = np.flatnonzero(left > 8)
+            rows, left, at = rows[more], left[more] - 8, at[more] + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(low[s[i] : e[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return h, np.searchsorted(s, starts_at)
 
 
@@ -69,7 +73,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5, seed: in
         while j < total and offsets[j + 1] - offsets[i] <= BLOCK:
             j += 1
         at = (offsets[i : j + 1] - offsets[i]).astype(np.int64)
-        w, first = word_hashes(data[offsets[i] : offsets[j]], at)
+        w, first = word_hashes(data[offsets[i] : offsets[j]], at, seed)
         with np.errstate(over="ignore"):
             long = len(w) - width + 1
             if long > 0:
@@ -112,3 +116,9 @@ def set_signature(x: np.ndarray) -> tuple[int, int]:
         a = mix(mix(x * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + n)
         b = mix(mix(x ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64) * np.uint64(0x165667B19E3779F9) + n)
     return int(a >> np.uint64(1)), int(b >> np.uint64(1))
+
+
+def parities(x: np.ndarray) -> np.ndarray:
+    """256 bits of a set as four signed longs: each the parity of how many members fall on it. The bits in which two sets' differ are at most as many as the members in which the sets do."""
+    bits = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(bits).view("<i8")
