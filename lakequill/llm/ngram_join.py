@@ -316,10 +316,10 @@ class _Verifier:
         return out
 
 
-def _around_hubs(stars: DataFrame, groups: DataFrame, words: DataFrame, pct: int) -> DataFrame:
+def _around_hubs(stars: DataFrame, groups: DataFrame, words: DataFrame, pct: int, used: list[DataFrame]) -> DataFrame:
     """Candidate pairs (a, b) of different groups among the nodes around each hub, by a prefix join of their differences from it.
 
-    stars: as verified, those with a difference only. groups: (k, g) of every node in a group. words: (k, w0 to w3) of every node. Of x and y at least one doesn't link to the
+    stars: as verified, those with a difference only. groups: (k, g) of every node in a group. words: (k, w0 to w3) of every node. used: gets the tables to discard once the pairs are stored. Of x and y at least one doesn't link to the
     hub, being in different groups; shingles that no such node's difference holds, or only one node's, can't be shared.
     """
     far_hubs = stars.where(~F.col("linked")).select("b").distinct()
@@ -338,12 +338,13 @@ def _around_hubs(stars: DataFrame, groups: DataFrame, words: DataFrame, pct: int
         (F.col("x.g") != F.col("y.g")) & (F.col("y.linked") | (F.col("x.k") < F.col("y.k")))
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * pct) & (F.least("x.left_over", "y.left_over") >= need) & _may_link(F.col("x.n"), F.col("y.n"), pct)
     )
+    used.append(rows)
     sizes = rows.groupBy("b", "t").agg(F.count("*").alias("rows"))
     return paired_join(rows.where(~F.col("linked")), rows, ["b", "t"], sizes, wanted, "k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
-def _between_hubs(shared: DataFrame, groups: DataFrame, hubs: DataFrame, words: DataFrame, pct: int) -> DataFrame:
-    """Candidate pairs (a, b), a being the larger, of different groups and different hubs, by multi-match prefixes."""
+def _between_hubs(shared: DataFrame, groups: DataFrame, hubs: DataFrame, words: DataFrame, pct: int, used: list[DataFrame]) -> DataFrame:
+    """Candidate pairs (a, b), a being the larger, of different groups and different hubs, by multi-match prefixes. used: gets the tables to discard once the pairs are stored."""
     tagged = shared.join(groups, "k", "left").join(hubs, "k", "left").select("token", "k", "n", "rest", F.coalesce("g", "k").alias("g"), F.coalesce("hub", "k").alias("hub"))
     tagged = stored(tagged.distinct(), "tagged")
     lists = tagged.groupBy("token", "hub").agg(F.count("*").alias("rows"), F.min("g").alias("g0"), F.max("g").alias("g1"))
@@ -356,6 +357,7 @@ def _between_hubs(shared: DataFrame, groups: DataFrame, hubs: DataFrame, words:
     kept = stored(kept.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("p")) - 1).join(words, "k"), "between")
     discard(tagged)
     sizes = stored(kept.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > common.HOT), "hot-tokens")
+    used += [kept, sizes]
 
     def matches(x, y):
         need_probe = F.ceil(pct * F.col("x.n") / 100)
@@ -425,20 +427,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     star = near.groupBy("k").agg(F.max(F.struct("hits", "center")).alias("best")).select("k", F.col("best.center").alias("low"))
     sized = classes.select("k", "n")
     star = stored(star.join(sized, "k"), "stars-sized")
-    star = spread_join(star, sized.select(F.col("k").alias("low"), F.col("n").alias("m")), "low").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * pct)
-    stars = verify.stars(stored(star.select(F.col("k").alias("a"), F.col("low").alias("b")), "stars"))
+    near_size = spread_join(star, sized.select(F.col("k").alias("low"), F.col("n").alias("m")), "low").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * pct)
+    starred = stored(near_size.select(F.col("k").alias("a"), F.col("low").alias("b")), "stars")
+    stars = verify.stars(starred)
     linked = stars.where("linked").select("a", "b")
     roots = components(linked, "a", "b")
 
     groups = roots.select(F.col("node").alias("k"), F.col("component").alias("g"))
     around = stars.where(F.col("delta").isNotNull())
     words = classes.select("k", *_WORDS)
-    pairs = _around_hubs(around, groups, words, pct).unionAll(_between_hubs(shared, groups, around.select(F.col("a").alias("k"), F.col("b").alias("hub")), words, pct))
-    more = verify.links(stored(pairs, "pairs"), "links")
+    used = [listed, star, starred, stars]
+    pairs = _around_hubs(around, groups, words, pct, used).unionAll(_between_hubs(shared, groups, around.select(F.col("a").alias("k"), F.col("b").alias("hub")), words, pct, used))
+    pairs = stored(pairs, "pairs")
+    more = verify.links(pairs, "links")
 
     merged = stored(components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b").withColumnRenamed("node", "k"), "merged")
+    discard(*used, pairs, more)
     lowest = classes.join(merged, "k").groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("rows"))
     of_class = spread_join(merged, lowest.select("component", "component_id"), "component", lowest.select("component", "rows")).select("k", F.col("component_id").alias("lowest"), F.lit(True).alias("linked"))
     of_class = classes.join(of_class, "k", "left").select("k", F.when(F.col("linked"), F.col("lowest")).otherwise(F.col("first_id")).alias("component_id"))
     out = spread_join(rows.where("n > 0"), of_class, "k", classes.select("k", "rows")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = stored(out.unionAll(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "components")
+    discard(found, classes, merged)
+    return out
