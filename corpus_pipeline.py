@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakequill.llm import decontam, ngram_join, packing, secrets, toxicity
-from lakequill.llm.common import stored, table
+from lakequill.llm.common import discard, stored, table
 from lakequill.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
@@ -38,10 +38,11 @@ def drop_near_duplicates(spark, docs, sf_dir):
     """Of each group that near-duplicate links hold together one row stays: that of the smallest doc_id, null being the largest."""
     # stored, so that the keys stay what they are; unlike those of other stages they differ for equal rows
     rows = stored(docs.withColumn("_lq_row", F.monotonically_increasing_id()), "near-duplicates-rows")
-    groups = ngram_join.jaccard_components(rows, doc_id="_lq_row").select(F.col("doc_id").alias("_lq_row"), "component_id")
+    groups = ngram_join.jaccard_components(rows, doc_id="_lq_row")
     ids = rows.select("_lq_row", F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
-    first = groups.join(ids, "_lq_row").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "h", "_lq_row")).alias("first"))
+    first = groups.select(F.col("doc_id").alias("_lq_row"), "component_id").join(ids, "_lq_row").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "h", "_lq_row")).alias("first"))
     kept = stored(first.select("first._lq_row"), "kept")
+    discard(groups)
     return rows.join(kept, "_lq_row", "left_semi").select(*docs.columns)
 
 
@@ -69,7 +70,9 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 
 def run(spark, sf_dir):
+    """The last stage's rows for the documents of sf_dir. A stage's table goes once the next one is stored; the last stage reads the one before it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
