@@ -24,14 +24,19 @@ from lakequill.sources.files import is_tracked
 EVENTS = "seq long, kind string, path string, new_path string"
 
 
-def last_operations(events: DataFrame) -> DataFrame:
-    """(path, op, seq): delete or index, by the last event of each tracked path; other kinds are ignored."""
+def operations(events: DataFrame) -> DataFrame:
+    """(seq, path, op, sub, and ts where events have one): delete or index for each tracked path that an event names, in the order of (seq, sub); other kinds are ignored."""
     one = F.struct(F.col("path").alias("path"), F.lit("delete").alias("op"), F.lit(0).alias("sub"))
     two = F.struct(F.col("new_path").alias("path"), F.lit("index").alias("op"), F.lit(1).alias("sub"))
     same = F.struct(F.col("path").alias("path"), F.lit("index").alias("op"), F.lit(0).alias("sub"))
     ops = F.when(F.col("kind") == "rename_both", F.array(one, two)).when(F.col("kind").isin("rename_from", "remove"), F.array(one)).when(F.col("kind").isin("rename_to", "rename", "create", "modify"), F.array(same))
-    flat = events.select("seq", F.explode(ops).alias("o")).select("seq", "o.path", "o.op", "o.sub").where(is_tracked(F.col("path")))
-    last = flat.groupBy("path").agg(F.max(F.struct("seq", "sub", "op")).alias("m"))
+    time = [c for c in ("ts",) if c in events.columns]
+    return events.select("seq", *time, F.explode(ops).alias("o")).select("seq", "o.path", "o.op", "o.sub", *time).where(is_tracked(F.col("path")))
+
+
+def last_operations(events: DataFrame) -> DataFrame:
+    """(path, op, seq): delete or index, by the last event of each tracked path; other kinds are ignored."""
+    last = operations(events).groupBy("path").agg(F.max(F.struct("seq", "sub", "op")).alias("m"))
     return last.select("path", F.col("m.op").alias("op"), F.col("m.seq").alias("seq"))
 
 
