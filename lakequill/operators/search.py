@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakequill.operators.embed import vectors_of, with_retry
+from lakequill.operators.segments import SegmentIndex, postings, query_terms, tokens, weight  # noqa: F401  postings: for callers
 from lakequill.schema import POOL_FACTOR, POOL_MAX, POOL_MIN, RRF_K, TAG_OVERFETCH
 
-K1, B = 1.2, 0.75
-
 
 @dataclass
 class SearchOptions:
@@ -76,50 +75,19 @@ def semantic(chunks: DataFrame, query: list[float], limit: int, key: str = "chun
     return near.orderBy("_d", key).limit(limit).withColumn("semantic_score", similarity(F.col("_d"))).drop("_d")
 
 
-def tokens(text):
-    """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "body") -> DataFrame:
-    """(key, term, tf, dl): the statistics that full-text search reads; write them once and search many times."""
-    words = chunks.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return words.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-#: Folders that the postings of a stored index are dealt to by term.
-BUCKETS = 256
+def write_index(chunks: DataFrame, root: str, key: str = "chunk_id", text: str = "body", source=None) -> None:
+    """Store a full-text index of these rows in place of the one below root; source: what they are, such as a table's version."""
+    SegmentIndex(chunks.sparkSession, root, key, chunks.schema[key].dataType.simpleString()).rebuild(chunks, text, source)
 
 
-def write_index(chunks: DataFrame, root: str, key: str = "chunk_id", text: str = "body") -> None:
-    """Store the postings, dealt to folders by term, and the corpus's row count and mean length: a search then reads its own terms' rows alone."""
-    rows = postings(chunks, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
-    lengths = chunks.select(F.size(tokens(F.col(text))).alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
-
-
-def bm25_indexed(spark, root: str, query: str, limit: int, key: str = "chunk_id") -> DataFrame:
-    """(key, fts_raw) of the limit best rows of a stored index; the same as bm25 over its rows. Rows without a word count as rows."""
-    terms = sorted(set(_query_terms(query)))
-    read = spark.read.parquet(f"{root}/postings")
-    if not terms:
-        return read.select(key, F.lit(0.0).alias("fts_raw")).where("false")
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()
-    own = read.where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("term").isin(terms)).select(key, "term", "tf", "dl")
-    held = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    n = spark.read.parquet(f"{root}/stats")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    f = F.col("tf").cast("double")
-    part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = own.join(F.broadcast(held.crossJoin(F.broadcast(n))), "term").select(key, part.alias("s"))
-    return scored.groupBy(key).agg(F.sum("s").alias("fts_raw")).orderBy(F.desc("fts_raw"), key).limit(limit)
+def bm25_indexed(spark, root: str, query: str, limit: int, key: str = "chunk_id", key_type: str = "string") -> DataFrame:
+    """(key, fts_raw) of the limit best rows of a stored index; the same as bm25 over its rows."""
+    return SegmentIndex(spark, root, key, key_type).search(query, limit)
 
 
 def bm25(chunks: DataFrame, query: str, limit: int, key: str = "chunk_id", text: str = "body") -> DataFrame:
     """(key, fts_raw) of the limit best rows. Statistics of the corpus are one aggregate; only rows that hold a term go on."""
-    terms = sorted(set(_query_terms(query)))
-    spark = chunks.sparkSession
+    terms = query_terms(query)
     if not terms:
         return chunks.select(key, F.lit(0.0).alias("fts_raw")).where("false")
     words = chunks.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
@@ -129,23 +97,11 @@ def bm25(chunks: DataFrame, query: str, limit: int, key: str = "chunk_id", text:
     hit = tf.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats: one row
     score = F.lit(0.0)
     for i in range(len(terms)):
-        f, df = F.col("tf")[i].cast("double"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+        f = F.col("tf")[i]
+        score = score + F.when(f > 0, weight(f, F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
     return hit.select(key, score.alias("fts_raw")).orderBy(F.desc("fts_raw"), key).limit(limit)
 
 
-def _query_terms(query: str) -> list[str]:
-    out, word = [], ""
-    for c in query.lower() + " ":
-        if c.isalpha() or c.isnumeric():
-            word += c
-        elif word:
-            out.append(word)
-            word = ""
-    return out
-
-
 def by_maximum(score: str):
     """score over the largest score of the set, 0 where that is not positive."""
     top = F.greatest(F.lit(0.0), F.max(score).over(Window.partitionBy(F.lit(0))))
@@ -191,17 +147,18 @@ def is_permutation(indices, n):
     return F.coalesce((F.size(indices) == n) & (F.array_sort(indices) == F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))), F.lit(False))
 
 
-def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = None, metrics=None) -> DataFrame:
+def search(chunks: DataFrame, options: SearchOptions, index_root: str | None = None, metrics=None, source=None) -> DataFrame:
     """Results with similarity_score, semantic_score, fts_score, is_context and context_for_index, in order of `ordinal`.
 
     rerank of the options: a function from the query and the pool's bodies to their order, or an object whose order()
     takes the query and the pool's rows. A pool of one row isn't reranked; an order that isn't whole fails the search.
 
-    index_root: a full-text index that write_index stored for these chunks; it serves searches without a path filter.
+    index_root: a full-text index of these chunks; it serves searches without a path filter. source: what the chunks are,
+    such as their table's version; an index of another source isn't used, the rows are then read instead.
     """
 
     def full_text(rows, fetch):
-        if index_root and options.path_filter is None:
+        if index_root and options.path_filter is None and (source is None or SegmentIndex(chunks.sparkSession, index_root).state()["source"] == source):
             return bm25_indexed(chunks.sparkSession, index_root, options.query, fetch)
         return bm25(rows, options.query, fetch)
 

@@ -58,6 +58,11 @@ class ChunkStore:
         v = self._versions()
         return (v[-1], self._manifest(v[-1])) if v else (0, {"buckets": self._buckets, "folders": {}})
 
+    @property
+    def version(self) -> int:
+        """The number of the current version; 0 where nothing was written."""
+        return self._current()[0]
+
     def _rows(self, manifest: dict, only=None) -> DataFrame:
         paths = [f"{self.root}/data/{f}/bucket={b}" for b, fs in manifest["folders"].items() if only is None or int(b) in only for f in fs]
         return self.spark.read.schema(CHUNKS).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNKS)

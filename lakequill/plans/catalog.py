@@ -329,7 +329,7 @@ _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 _TOPK = f"SELECT vec_id, round({_SIM}, 6) AS score FROM embeddings e, {_Q} ORDER BY {_SIM} DESC, vec_id LIMIT 10"
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _BM25 = f"""
-t AS (SELECT chunk_id, {_WORDS.format('body')} AS w FROM rows_),
+t AS (SELECT chunk_id, {_WORDS.format("coalesce(body, '')")} AS w FROM rows_),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 f AS (SELECT chunk_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM t, unnest({TERMS.split()!r}) u(term)),
 i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, s WHERE tf > 0 GROUP BY term, n),

@@ -58,35 +58,50 @@ def glob_regex(glob: str) -> str:
     return ("^" if anchored else "^(?:.*/)?") + out + "(?:/.*)?$"
 
 
-def _ignored(root: str) -> list[tuple[str, bool, str]]:
-    """(folder, keeps, pattern) of every ignore file below root, in order."""
-    rules = []
-    for d, dirs, files in os.walk(root):
-        dirs.sort()
-        if ".gitignore" in files:
-            base = os.path.relpath(d, root).replace(os.sep, "/")
-            with open(os.path.join(d, ".gitignore"), errors="replace") as f:
-                for line in f:
-                    line = line.strip()
-                    if line and not line.startswith("#"):
-                        rules.append(("" if base == "." else base + "/", line.startswith("!"), glob_regex(line.lstrip("!"))))
-    return rules
-
-
-def asset_files(root: str, extensions=ASSET_EXTENSIONS, exclude=()) -> list[str]:
-    """Assets by extension in any case, without what ignore files or the exclude globs name; a folder that can't be read raises."""
-    rules, globs = _ignored(root), [re.compile(glob_regex(g)) for g in exclude]
-    out = []
-    for p in _walk(root, strict=True):
-        if os.path.splitext(p)[1][1:].lower() not in extensions or any(g.match(p) for g in globs):
-            continue
-        keep = True
-        for base, keeps, pattern in rules:
-            if p.startswith(base) and re.match(pattern, p[len(base) :]):
-                keep = keeps
-        if keep:
-            out.append(p)
-    return out
+def ignore_rules(texts: DataFrame) -> DataFrame:
+    """(folder, n, keeps, pattern) of the ignore files (file_path, text): the folder that a rule holds in, with a slash behind it, its line, whether it takes back, and a regular expression over paths below the folder. Blank lines and comments are no rules."""
+    ship(texts.sparkSession)
+
+    @F.pandas_udf("string")
+    def regex(globs):
+        return globs.map(glob_regex)
+
+    lines = texts.where("text is not null").select(F.regexp_extract("file_path", r"^(.*/)?[^/]*$", 1).alias("folder"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("n", "line"))
+    rules = lines.withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, '#')")
+    return rules.select("folder", "n", F.col("line").startswith("!").alias("keeps"), regex(F.regexp_replace("line", "^!+", "")).alias("pattern"))
+
+
+#: Rules up to which they are sent to all tasks; more are joined by their folders' hash.
+BROADCAST_RULES = 50_000
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_path, ignored) of each distinct path, null ones left out: the last matching rule decides, those of deeper folders after those above, without one the path stays.
+
+    A path is joined with the rules of its ancestor folders alone, so the work is in step with paths, depth and the
+    rules of a folder, not with paths times rules.
+    """
+    one = paths.where("file_path is not null").select("file_path").distinct()
+    above = F.expr("transform(sequence(0, size(split(file_path, '/')) - 1), i -> if(i = 0, '', concat(substring_index(file_path, '/', i), '/')))")
+    folders = one.select("file_path", F.posexplode(above).alias("d", "folder"))
+    small = rules.count() <= BROADCAST_RULES
+    met = folders.join(F.broadcast(rules) if small else rules, "folder").where(F.rlike(F.expr("substring(file_path, length(folder) + 1)"), F.col("pattern")))
+    last = met.groupBy("file_path").agg(F.max_by("keeps", F.struct("d", "n")).alias("keeps"))
+    return one.join(last, "file_path", "left").select("file_path", F.coalesce(~F.col("keeps"), F.lit(False)).alias("ignored"))
+
+
+def asset_paths(spark: SparkSession, root: str, extensions=ASSET_EXTENSIONS, exclude=()) -> DataFrame:
+    """(file_path) of the assets by extension in any case, without what ignore files or the exclude globs name; a folder that can't be read raises."""
+    found = list(_walk(root, strict=True))
+    names = _dealt(spark, found).where(F.lower("file_path").rlike(r"\.(" + "|".join(extensions) + ")$") & ~excluded(F.col("file_path"), exclude))
+    rules = ignore_rules(read_texts(spark, root, [os.path.relpath(p, root).replace(os.sep, "/") for p in _ignore_files(root)]))
+    return ignored(names, rules).where(~F.col("ignored")).select("file_path")
+
+
+def _ignore_files(root: str):
+    for d, _, names in os.walk(root):
+        if ".gitignore" in names:
+            yield os.path.join(d, ".gitignore")
 
 
 def is_tracked(path):

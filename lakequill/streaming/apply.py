@@ -11,15 +11,16 @@ import os
 import signal
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.operators.assets import AssetCache, synthetic_texts
 from lakequill.operators.metrics import Metrics
-from lakequill.operators.search import write_index
+from lakequill.operators.segments import SegmentIndex
 from lakequill.operators.store import status
 from lakequill.sources import files
 from lakequill.sources.files import is_tracked
+from lakequill.streaming.debounce import PROVIDER, debounced_stream
 
 EVENTS = "seq long, kind string, path string, new_path string"
 
@@ -53,40 +54,61 @@ def reader(spark: SparkSession, root: str, extractor=None, cache: AssetCache | N
 
 
 def apply_batch(events: DataFrame, store, read, chunk_and_embed, metrics: Metrics | None = None, index_root: str | None = None) -> tuple[int, int]:
-    """Apply one batch; (files indexed, files deleted). read turns (file_path) rows into (file_path, text, error).
+    """apply_operations() for the last operation of each path that the events name."""
+    seen = Observation()
+    got = apply_operations(last_operations(events.observe(seen, F.count("*").alias("events"))), store, read, chunk_and_embed, metrics, index_root)
+    if metrics is not None:
+        metrics.add("file_events_processed_total", seen.get["events"])
+    return got
+
+
+def apply_operations(ops: DataFrame, store, read, chunk_and_embed, metrics: Metrics | None = None, index_root: str | None = None) -> tuple[int, int]:
+    """Apply operations (path, op, seq), one for each path; (files indexed, files deleted). read turns (file_path) rows into (file_path, text, error).
 
     Files are always embedded anew. One that is empty by now is deleted, one that can't be read or extracted stays as it
-    was. If anything changed, the full-text index under index_root is written anew, once for the batch.
+    was. The full-text index under index_root takes in what changed. All counts are observed in the passes that
+    the change takes anyway.
     """
     metrics, began = metrics or Metrics(), time.monotonic()
-    events = events.cache()
-    ops = last_operations(events).cache()
-    got = read(ops.where("op = 'index'").select(F.col("path").alias("file_path"))).cache()
+    read_, made, named = Observation(), Observation(), Observation()
+    ops = ops.cache()
+    got = read(ops.where("op = 'index'").select(F.col("path").alias("file_path"))).observe(read_, F.count_if(F.col("error").isNotNull()).alias("failed")).cache()
     fresh = chunk_and_embed(got.where("error is null")).cache()
-    gone = ops.where("op = 'delete'").select(F.col("path").alias("file_path"))
-    done = got.where("error is null").select("file_path")
-    n, deleted, chunks = done.count(), gone.count(), fresh.count()
-    if n or deleted:
-        store.replace(fresh, gone.unionAll(done))
+    gone = ops.where("op = 'delete'").select(F.col("path").alias("file_path"), F.lit(True).alias("gone"))
+    paths = gone.unionAll(got.where("error is null").select("file_path", F.lit(False).alias("gone")))
+    before, version = store.read(), store.version
+    store.replace(fresh.observe(made, F.count("*").alias("chunks")), paths.observe(named, F.count_if("gone").alias("gone"), F.count_if(~F.col("gone")).alias("done")))
+    n, deleted, chunks = named.get["done"], named.get["gone"], made.get["chunks"]
+    if store.version != version:
         if index_root:
-            write_index(store.read(), index_root)
-    metrics.add("file_events_processed_total", events.count())
+            changed = paths.select("file_path").unionAll(fresh.select("file_path")).distinct()
+            SegmentIndex(store.spark, index_root).apply(fresh, before.join(changed, "file_path", "left_semi").select("chunk_id"), source=store.version)
+        totals = status(store.read()).first()
+        metrics.set("chunks_total", totals["total_chunks"])
+        metrics.set("files_total", totals["total_files"])
     metrics.add("chunks_indexed_total", chunks)
-    metrics.add("embedding_errors_total", got.where("error is not null").count())
-    totals = status(store.read()).first()
-    metrics.set("chunks_total", totals["total_chunks"])
-    metrics.set("files_total", totals["total_files"])
+    metrics.add("embedding_errors_total", read_.get["failed"])
     if chunks:
         metrics.observe("indexing_throughput_chunks_per_second", chunks / max(time.monotonic() - began, 1e-9))
-    for df in (events, ops, got, fresh):
+    for df in (ops, got, fresh):
         df.unpersist()
     return n, deleted
 
 
-def watch(spark, log_dir: str, store, read, chunk_and_embed, checkpoint: str, interval: str | None = "500 milliseconds", max_files: int = 256, metrics: Metrics | None = None, index_root: str | None = None):
-    """A streaming query over a folder of event files. Applying a batch again gives the same table, so a restart repeats none of its effects."""
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(log_dir)
-    run = events.writeStream.foreachBatch(lambda df, _: apply_batch(df, store, read, chunk_and_embed, metrics, index_root)).option("checkpointLocation", checkpoint)
+def watch(spark, log_dir, store, read, chunk_and_embed, checkpoint: str, interval: str | None = "500 milliseconds", max_files: int = 256, metrics: Metrics | None = None, index_root: str | None = None, quiet_ms: int | None = None):
+    """A streaming query over a folder of event files, or over a stream of events, such as folder_events(). Applying a batch again gives the same table, so a restart repeats none of its effects.
+
+    quiet_ms: a path is applied once no event named it for so long, over the borders of batches; None: at the end of each batch.
+    """
+    events = log_dir if isinstance(log_dir, DataFrame) else spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(log_dir)
+    if quiet_ms is None:
+        run = events.writeStream.foreachBatch(lambda df, _: apply_batch(df, store, read, chunk_and_embed, metrics, index_root))
+    else:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the one that keeps timers
+        # a batch may hold a path twice, if its quiet time ended between two looks
+        last = lambda df: df.groupBy("path").agg(F.max(F.struct("seq", "op")).alias("x")).select("path", "x.op", "x.seq")
+        run = debounced_stream(operations(events), quiet_ms).writeStream.foreachBatch(lambda df, _: apply_operations(last(df), store, read, chunk_and_embed, metrics, index_root))
+    run = run.option("checkpointLocation", checkpoint)
     return (run.trigger(processingTime=interval) if interval else run.trigger(availableNow=True)).start()
 
 

@@ -53,14 +53,21 @@ def test_stored_index_searches_alike(spark, tmp_path):
     assert [r.chunk_id for r in s.search(full, opts).collect()] == [r.chunk_id for r in s.search(full, opts, f"file://{tmp_path}/fts").collect()]
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     for p in ("a.md", "b.MD", "_c.md", "x/y/z.md", ".hidden/s.md", ".d.md", "t.txt", "p.PNG", "skip/q.pdf", "x/r.jpg"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x")
     (tmp_path / ".gitignore").write_text("skip/\n")
     assert sorted(files.markdown_files(str(tmp_path))) == ["_c.md", "a.md", "x/y/z.md"]
-    assert sorted(files.asset_files(str(tmp_path))) == ["p.PNG", "x/r.jpg"]
-    assert files.asset_files(str(tmp_path), exclude=["x/**"]) == ["p.PNG"]
+    assets = lambda **more: sorted(r.file_path for r in files.asset_paths(spark, str(tmp_path), **more).collect())
+    assert assets() == ["p.PNG", "x/r.jpg"] and assets(exclude=["x/**"]) == ["p.PNG"]
+    (tmp_path / "x/.gitignore").write_text("# none\n\n*.jpg\n!r.jpg\n/s*\n")
+    (tmp_path / "x/s.png").write_text("x")
+    (tmp_path / "x/t.jpg").write_text("x")
+    assert assets() == ["p.PNG", "x/r.jpg"]
+    (tmp_path / ".gitignore").write_text("skip/\n*.png\n")
+    (tmp_path / "x/.gitignore").write_text("!*.png\n")
+    assert assets() == ["p.PNG", "x/r.jpg", "x/s.png", "x/t.jpg"]
 
 
 def test_retry():
@@ -320,7 +327,7 @@ def test_pages_and_command_line(spark, tmp_path, monkeypatch):
     go("status")
     assert json.loads(said[0])["files_indexed"] == 2 and said[1].startswith("[1] clay.md -- # Clay  (score: 1.00)") and "wool.md" in said[2]
     assert json.loads(said[3])["total_files"] == 2
-    chunks = ChunkStore(spark, f"file://{tmp_path}/.local-index/chunks").read()
+    chunks = ChunkStore(spark, f"file://{tmp_path}/.lakequill/chunks").read()
     shown = pages.search_rows(chunks, "ash", "odd", hash_embedder(64)).collect()
     assert len(shown) == 2 and "wood <mark>ash</mark> &amp; feldspar" in shown[0].chunk_html and pages.search_rows(chunks).count() == 0
     assert pages.status_row(chunks, "m", 64).first()["total_embeddings"] == 2 and [r.chunk_count for r in pages.index_rows(chunks).collect()] == [1, 1]
