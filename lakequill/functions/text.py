@@ -86,3 +86,14 @@ def rerank_indices(answer):
 
 def round2(col):
     return F.round(col, 2)
+
+
+def json_value(json, path: str, kind: str, default=None):
+    """The value at a path of a JSON column as a type, by VARIANT: default where the text isn't JSON, the path is missing, or its value can't be that type."""
+    got = F.try_variant_get(F.try_parse_json(json), path, kind)
+    return got if default is None else F.coalesce(got, F.lit(default).cast(kind))
+
+
+def json_schema(df, json: str) -> str:
+    """The type that the valid JSON texts of a column have together, as schema_of_variant writes it; one aggregate."""
+    return df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(json)))).first()[0]

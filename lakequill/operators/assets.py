@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.functions.text import image_blockquote, pdf_class
-from lakequill.runtime import ship
+from lakequill.runtime import ship, stored
 from lakequill.sources import files
 
 LOG = logging.getLogger(__name__)
@@ -90,15 +90,53 @@ def extract(assets: DataFrame, extractor: Extractor, max_pages: int = MAX_PDF_PA
                         shots = extractor.rasterise(bytes(data), max_pages)
                         if not shots:
                             raise ValueError("no pages")
-                        stem, ocr = name.rsplit(".", 1)[0], getattr(extractor, "ocr", None)
-                        rows.append(("needs_vision", [], [(p, 1, ocr(x) if ocr else extractor.describe(x, f"{stem}_page_{p}.png")) for p, x in enumerate(shots, 1)], None))
+                        rows.append(("needs_vision", [], [], None, [(p, bytes(x)) for p, x in enumerate(shots, 1)]))
                 except Exception as e:
                     rows.append((None, [], [], str(e)))
-            yield pdf[["file_path", "sha256"]].assign(**{k: [r[i] for r in rows] for i, k in enumerate(("kind", "pages", "images", "error"))})
+            rows = [r if len(r) == 5 else (*r, []) for r in rows]
+            yield pdf[["file_path", "sha256"]].assign(**{k: [r[i] for r in rows] for i, k in enumerate(("kind", "pages", "images", "error", "shots"))})
 
     ship(assets.sparkSession)
     error = F.col("error") if "error" in assets.columns else F.lit(None).cast("string")
-    return assets.select("file_path", "sha256", "content", error.alias("error")).mapInPandas(run, "file_path string, sha256 string, kind string, pages array<string>, images array<struct<page:int,n:int,text:string>>, error string")
+    found = assets.select("file_path", "sha256", "content", error.alias("error")).mapInPandas(run, "file_path string, sha256 string, kind string, pages array<string>, images array<struct<page:int,n:int,text:string>>, error string, shots array<struct<page:int,image:binary>>")
+    found = stored(found, "extracted")  # read twice; pages of scanned documents lie in it
+    ocr = getattr(extractor, "ocr", None)
+    shots = found.where("kind = 'needs_vision'").select("file_path", F.inline("shots"))
+    seen = read_pages(shots, (lambda image, name: ocr(image)) if ocr else extractor.describe)
+    images = F.transform("texts", lambda t, i: F.struct((i + 1).alias("page"), F.lit(1).alias("n"), t.alias("text")))
+    scanned = seen.select("file_path", images.alias("scans"), F.col("error").alias("scan_error"))
+    joined = found.drop("shots").join(scanned, "file_path", "left")
+    failed = F.col("scan_error").isNotNull()
+    return joined.select("file_path", "sha256", F.when(~failed, F.col("kind")).alias("kind"), "pages", F.coalesce(F.when(failed, F.array().cast("array<struct<page:int,n:int,text:string>>")), F.when(F.col("kind") == "needs_vision", F.col("scans")), F.col("images")).alias("images"), F.coalesce("error", "scan_error").alias("error"))
+
+
+def read_pages(pages: DataFrame, read: Callable[[bytes, str], str], parts: int | None = None) -> DataFrame:
+    """(file_path, texts, error) of page rows (file_path, page, image): what read makes of each image and its name, in the order of pages, or the error of the first page that fails and no texts.
+
+    Pages are dealt over the tasks one by one, so a long document is read by many; what comes back is put together by file.
+    Null images fail. Repeated page numbers keep each row, by their texts.
+    """
+    def run(batches):
+        for pdf in batches:
+            texts, errors = [], []
+            for path, page, image in zip(pdf["file_path"], pdf["page"], pdf["image"]):
+                try:
+                    if image is None:
+                        raise ValueError("no image")
+                    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                    texts.append(read(bytes(image), f"{stem}_page_{page}.png"))
+                    errors.append(None)
+                except Exception as e:
+                    texts.append(None)
+                    errors.append(str(e) or type(e).__name__)
+            yield pdf[["file_path", "page"]].assign(text=texts, error=errors)
+
+    spark = pages.sparkSession
+    ship(spark)
+    n = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = pages.select("file_path", F.col("page").cast("int").alias("page"), "image").repartition(n, "file_path", "page").mapInPandas(run, "file_path string, page int, text string, error string")
+    whole = each.groupBy("file_path").agg(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("page", "text")))).alias("x"), F.min(F.when(F.col("error").isNotNull(), F.struct("page", "error")))["error"].alias("error"))
+    return whole.select("file_path", F.when(F.col("error").isNull(), F.transform("x", lambda p: p["text"])).alias("texts"), "error")
 
 
 def compose(extracted: DataFrame) -> DataFrame:

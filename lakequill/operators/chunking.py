@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.operators.ordered import last_before
 from lakequill.runtime import ship
 from lakequill.schema import CHUNK_BYTES, CHUNKED, DECAY, LOOK_BACK_BYTES, OVERLAP_BYTES
 
@@ -216,6 +217,21 @@ def headings_of(files: DataFrame) -> DataFrame:
     return _per_file(files, lambda t: headings(t, front_matter(t)[1]), "pos long, heading_breadcrumb string, heading_level int")
 
 
+def active_headings(chunks: DataFrame, titles: DataFrame, parts: int | None = None) -> DataFrame:
+    """chunks (file_path, byte_start, ...) with heading_breadcrumb and heading_level, '' and 0 without one: the last of titles (file_path, pos, heading_breadcrumb, heading_level) at or before each start.
+
+    An as-of join: chunks and headings are put in one order by file and place, cut into ranges, and each range takes over
+    the last heading of those before it. So a file of any size is dealt to as many tasks as it needs.
+    """
+    own = [c for c in chunks.columns if c not in ("heading_breadcrumb", "heading_level")]
+    row, title = F.struct(*own), F.struct("heading_breadcrumb", F.col("heading_level").cast("int").alias("heading_level"))
+    a = chunks.select("file_path", F.col("byte_start").cast("long").alias("at_"), F.lit(1).alias("sub"), row.alias("row"))
+    b = titles.select("file_path", F.col("pos").cast("long").alias("at_"), F.lit(0).alias("sub"), title.alias("title"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    got = last_before(both, ["at_", "sub"], ["file_path"], "title", "last", parts).where("sub = 1")
+    return got.select("row.*", F.coalesce("last.heading_breadcrumb", F.lit("")).alias("heading_breadcrumb"), F.coalesce("last.heading_level", F.lit(0)).alias("heading_level"))
+
+
 def points_of(files: DataFrame) -> DataFrame:
     """(file_path, pos, score, kind) of every break point, in Spark functions: lines and a running sum of their bytes."""
     lines = files.select("file_path", F.posexplode(F.split("text", "\n")).alias("n", "line"))

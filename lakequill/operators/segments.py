@@ -49,6 +49,11 @@ def weight(tf, dl, df, n, avgdl):
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
+def total(s):
+    """The sum of weights, the same whatever their order: equal rows tie."""
+    return F.sum(s.cast("decimal(28,15)")).cast("double")
+
+
 def _bucket(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
@@ -205,4 +210,4 @@ class SegmentIndex:
         held = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
         part = weight(F.col("tf"), F.col("dl"), F.col("df"), F.lit(state["n"]), F.lit(state["words"] / state["n"]))
         scored = own.join(F.broadcast(held), "term").select(self.key, part.alias("s"))
-        return scored.groupBy(self.key).agg(F.sum("s").alias("fts_raw")).orderBy(F.desc("fts_raw"), self.key).limit(limit)
+        return scored.groupBy(self.key).agg(total(F.col("s")).alias("fts_raw")).orderBy(F.desc("fts_raw"), self.key).limit(limit)
