@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakequill.operators.embed import vectors_of, with_retry
 from lakequill.operators.segments import SegmentIndex, postings, query_terms, tokens, weight  # noqa: F401  postings: for callers
+from lakequill.runtime import stored
 from lakequill.schema import POOL_FACTOR, POOL_MAX, POOL_MIN, RRF_K, TAG_OVERFETCH
 
 
@@ -86,13 +87,14 @@ def bm25_indexed(spark, root: str, query: str, limit: int, key: str = "chunk_id"
 
 
 def bm25(chunks: DataFrame, query: str, limit: int, key: str = "chunk_id", text: str = "body") -> DataFrame:
-    """(key, fts_raw) of the limit best rows. Statistics of the corpus are one aggregate; only rows that hold a term go on."""
+    """(key, fts_raw) of the limit best rows. Texts are read once, into a narrow table of lengths and term counts; statistics of the corpus are one aggregate of it, and only its rows that hold a term go on."""
     terms = query_terms(query)
     if not terms:
         return chunks.select(key, F.lit(0.0).alias("fts_raw")).where("false")
     words = chunks.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
     arr = F.array(*map(F.lit, terms))
     tf = words.select(key, "dl", F.transform(arr, lambda t: F.size(F.filter("w", lambda x: x == t))).alias("tf"))
+    tf = stored(tf, "term-counts")
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
     hit = tf.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats: one row
     score = F.lit(0.0)
