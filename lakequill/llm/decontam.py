@@ -51,8 +51,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).select("doc_id", F.xxhash64("_t").alias("th"), words_of(F.col("_t")).alias("w"))
     its = items.select(F.col("item_id"), F.col("text"))
-    owned = stored(_windows(its, window).withColumn("win_id", F.xxhash64("win")), "windows")
-    distinct = owned.groupBy("win_id").agg(F.first("win").alias("win"), F.first("size").alias("size"))
+    owned = stored(_windows(its, window), "windows")
+    # numbers of the distinct windows' own, not hashes, so that no two windows can be taken for one
+    distinct = stored(owned.select("win", "size").distinct().withColumn("win_id", F.monotonically_increasing_id()), "distinct-windows")
+    owners = owned.join(distinct.select("win", "win_id"), "win").select("win_id", F.col("item_id").cast("string").alias("item"))
     rarity = _rarity(words, owned)
     ranked = (
         distinct.select("win_id", "win", "size", F.posexplode(F.split("win", " ")).alias("at", "word"))
@@ -71,7 +73,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         tokens = words.select("doc_id", "th", F.posexplode("w").alias("pos", "word"))
         lists = words.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "w")
         joined = spread_join(tokens.withColumn("word", F.lower("word")), prefix.drop("df"), "word", prefix.select("word", F.col("df").alias("rows")).distinct())
-        joined = joined.join(lists, joined.doc_id.eqNullSafe(lists._d) & (joined.th == lists._h))
+        # null ids have a key of their own, and a text of many hits is dealt to several tasks
+        key = lambda a, b: F.struct(F.coalesce(F.col(a).cast("string"), F.lit("")).alias("d"), F.col(a).isNull().alias("n"), F.col(b).alias("h"))
+        joined = spread_join(joined.withColumn("_key", key("doc_id", "th")), lists.select(key("_d", "_h").alias("_key"), "w"), "_key").drop("_key")
     begin = F.col("pos") - F.col("at")
     hits = joined.where((begin >= 0) & (begin + F.col("size") <= F.size("w"))).where(lowered(F.slice("w", begin + 1, F.col("size"))) == F.col("win"))
     hits = stored(hits.select("doc_id", "th", begin.alias("s"), (begin + F.col("size")).alias("e"), "win_id").distinct(), "hits")
@@ -79,7 +83,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     spans = hits.groupBy("doc_id", "th", "s").agg(F.max("e").alias("e"))
     seen = F.coalesce(F.max("e").over(run), F.lit(0))
     n_hit = spans.withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("s", seen))).groupBy("doc_id", "th").agg(F.sum("new").alias("n_hit"))
-    found = hits.select("doc_id", "th", "win_id").distinct().join(owned.select("win_id", F.col("item_id").cast("string").alias("item")), "win_id")
+    found = hits.select("doc_id", "th", "win_id").distinct().join(owners, "win_id")
     found = found.groupBy("doc_id", "th").agg(F.collect_set("item").alias("items"))
     judged = n_hit.join(found, n_hit.doc_id.eqNullSafe(found.doc_id) & (n_hit.th == found.th)).select(n_hit.doc_id.alias("_d"), n_hit.th.alias("_h"), "n_hit", "items")
     sized = words.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
