@@ -15,7 +15,7 @@ from lakequill.operators import chunking, search, store
 from lakequill.operators.assets import classify
 from lakequill.operators.embed import Embedded, embed_chunks, token_usage
 from lakequill.operators.metrics import bucket_counts
-from lakequill.plans import pages, upkeep
+from lakequill.plans import pages, stores, upkeep
 from lakequill.plans.index import run_counters
 from lakequill.schema import EMPTY_FRONTMATTER
 from lakequill.sources import files
@@ -316,7 +316,7 @@ a3_chunks_per_file a4_status a6_corpus_stats a9_run_counters w2_ordinals x4_json
 
 
 def queries():
-    return {n: globals()[n] for n in _NAMES} | upkeep.queries()
+    return {n: globals()[n] for n in _NAMES} | upkeep.queries() | stores.queries()
 
 
 # --- SQL -------------------------------------------------------------------------------------------------------
@@ -386,7 +386,7 @@ def _prefix(bytes_: int, up: bool, mark: str) -> str:
 def oracle_sql():
     rows = f"rows_ AS (SELECT vec_id AS chunk_id, embedding, {_PATH} AS file_path, text AS body, lang FROM embeddings JOIN documents ON doc_id = vec_id)"
     sem = f"SELECT chunk_id, {_COS.format(a='e.embedding', b='q.embedding')} AS semantic_score"
-    return upkeep.oracle_sql() | {
+    return upkeep.oracle_sql() | stores.oracle_sql(_K, _SIM, EMPTY_FRONTMATTER) | {
         "s3_exclude_globs": f"SELECT file_path, file_path LIKE 'src1/%' OR file_path LIKE '%5.md' AS gone FROM (SELECT {_PATH} AS file_path FROM documents)",
         "f7_inside_root": f"SELECT {_PATH} AS file_path, source = 'src1' AS under FROM documents",
         "f8_web_results": "WITH b AS (SELECT *, repeat(p_name || ' & ' || p_brand || '; ', 9) AS body FROM part WHERE p_partkey % 3 <> 0), c AS (SELECT *, CASE WHEN length(body) <= 300 THEN body ELSE substr(body, 1, 300) || '...' END AS cut FROM b) SELECT p_name AS file_path, p_brand AS heading_breadcrumb, regexp_replace(replace(cut, '&', '&amp;'), '\\b(brand|steel)\\b', '<mark>\\1</mark>', 'gi') AS chunk_html, round(p_partkey / 8.0::DOUBLE, 2) AS similarity_score FROM c",
