@@ -65,26 +65,27 @@ def with_retry(embed, texts, wait=time.sleep):
 
 
 def embed_chunks(chunks: DataFrame, embed, model: str, width: int, batch: int = EMBED_BATCH) -> DataFrame:
-    """chunks with embedding_model, vector and request_tokens; texts go to embed in requests of `batch` at most, in order. A request's tokens stand with its first row, so that their sum counts each request once, however often tasks are tried."""
+    """chunks with embedding_model, vector, request_tokens and request_seconds; texts go to embed in requests of `batch` at most, in order. A request's tokens and seconds stand with its first row, so that sums count each request once, however often tasks are tried."""
     ship(chunks.sparkSession)
 
-    @F.pandas_udf("vector array<float>, tokens long")
+    @F.pandas_udf("vector array<float>, tokens long, seconds double")
     def vectors(body):
         import pandas as pd
 
-        out, used = [], []
+        out, used, took = [], [], []
         for i in range(0, len(body), batch):
-            texts = body.iloc[i : i + batch].tolist()
+            texts, began = body.iloc[i : i + batch].tolist(), time.monotonic()
             answer = with_retry(embed, texts)
+            took += [time.monotonic() - began] + [None] * (len(texts) - 1)
             got = vectors_of(answer)
             if len(got) != len(texts) or any(len(v) != width for v in got):
                 raise EmbeddingError(f"not {len(texts)} vectors of {width} components")
             out += got
             used += [getattr(answer, "tokens", 0)] + [0] * (len(texts) - 1)
-        return pd.DataFrame({"vector": pd.Series(out, dtype=object), "tokens": pd.Series(used, dtype="int64")})
+        return pd.DataFrame({"vector": pd.Series(out, dtype=object), "tokens": pd.Series(used, dtype="int64"), "seconds": pd.Series(took, dtype="float64")})
 
     own = chunks.withColumn("embedding_model", F.lit(model)).withColumn("_e", vectors("body"))
-    return own.withColumn("vector", F.col("_e.vector")).withColumn("request_tokens", F.col("_e.tokens")).drop("_e")
+    return own.withColumn("vector", F.col("_e.vector")).withColumn("request_tokens", F.col("_e.tokens")).withColumn("request_seconds", F.nanvl("_e.seconds", F.lit(None).cast("double"))).drop("_e")
 
 
 def token_usage(embedded: DataFrame) -> DataFrame:

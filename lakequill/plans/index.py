@@ -29,12 +29,13 @@ def index(spark: SparkSession, root: str, store: ChunkStore, embed, model: str,
     """Bring the store up to date with the folder; the six counters. Files are chunked in one job, only changed ones are embedded, and all changes are published at once. Assets whose bytes the cache knows aren't extracted again."""
     if model_guard(store.read(), model, force):
         store.delete_all()
-    found = files.markdown_files(root)
+    rows = files.listed(spark, root, strict=extractor is not None)
+    found = files.markdown_paths(rows)
     read = files.read_texts(spark, root, found).cache()
     errors = read.where("error is not null").count()
     good = read.where("error is null")
     chunks = with_id(with_hash(chunk_files(good)))
-    paths = files.asset_paths(spark, root, exclude=exclude).cache() if extractor is not None else None
+    paths = files.asset_paths(spark, root, rows, exclude=exclude).cache() if extractor is not None else None
     n_assets = paths.count() if paths is not None else 0
     if n_assets:
         assets = synthetic_texts(spark, root, paths, extractor, cache)
@@ -50,7 +51,7 @@ def index(spark: SparkSession, root: str, store: ChunkStore, embed, model: str,
     embedded, total, n_files = fresh.count(), chunks.count(), stale.where(IS_NOTE).count()
     if embedded or emptied.join(store.read().select("file_path"), "file_path", "left_semi").limit(1).count():
         store.replace(fresh, stale.unionAll(emptied))
-    pruned = store.prune(spark.createDataFrame([(p,) for p in found], "file_path string"))
+    pruned = store.prune(found)
     if metrics is not None:
         now = totals(store.read()).first()
         metrics.add("chunks_indexed_total", embedded)

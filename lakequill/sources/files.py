@@ -1,40 +1,78 @@
-"""Discovery and reading of markdown files and assets.
+"""Discovery and reading of markdown files and assets, on any file system that Arrow knows.
 
-Spark's own lister drops names that begin with an underscore, so paths are listed on the driver and read by tasks.
+Spark's own lister drops names that begin with an underscore, so tasks list folders, one level of them after the other;
+paths stay a table, and files are opened by tasks alone. A root is a path that all machines mount, or a URI.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import os
+import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.runtime import ship
+from lakequill.runtime import ship, stored
 
 ASSET_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "webp")  # fixed values
 MAX_ASSET_BYTES = int(os.environ.get("LAKEQUILL_MAX_ASSET_BYTES", 50 * 1024 * 1024))
 
 
-def _walk(root: str, strict: bool = False):
-    """Relative paths of files below root that no dot entry hides; symlinks aren't followed."""
-    def fail(e):
-        if strict:
-            raise e
+def file_system(root: str):
+    """(file system, folder) of a root."""
+    from pyarrow import fs
 
-    for d, dirs, files in os.walk(root, onerror=fail):
-        dirs[:] = sorted(x for x in dirs if not x.startswith(".") and not os.path.islink(os.path.join(d, x)))
-        for f in sorted(files):
-            p = os.path.join(d, f)
-            if not f.startswith(".") and not os.path.islink(p):
-                yield os.path.relpath(p, root).replace(os.sep, "/")
+    return fs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
 
 
-def markdown_files(root: str) -> list[str]:
-    """Paths that end in .md, in lower case alone."""
-    return [p for p in _walk(root) if os.path.splitext(p)[1] == ".md"]
+def listed(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """(file_path, length) of the files below root that no dot entry hides; symlinks aren't followed. strict: a folder that can't be read raises, else it is left out.
+
+    A round for each level of folders, which are dealt to the tasks by path; the driver holds no path.
+    """
+    ship(spark)
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def look(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        where, base = file_system(root)
+        for pdf in batches:
+            rows = []
+            for folder in pdf["file_path"]:
+                try:
+                    found = where.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                except OSError:
+                    if strict:
+                        raise
+                    continue
+                for f in found:
+                    if not f.base_name.startswith(".") and not (where.type_name == "local" and os.path.islink(f.path)):
+                        rows.append((f"{folder}/{f.base_name}".lstrip("/"), f.type == fs.FileType.Directory, None if f.size is None else int(f.size)))
+                if where.get_file_info(f"{base}/{folder}/.gitignore".replace("//", "/")).type == fs.FileType.File:
+                    rows.append((f"{folder}/.gitignore".lstrip("/"), False, -1))
+            yield pd.DataFrame(rows, columns=["file_path", "folder", "length"]).astype({"folder": bool, "length": "Int64"})
+
+    level, out = spark.createDataFrame([("",)], "file_path string"), None
+    while True:
+        found = stored(level.repartition(n, "file_path").mapInPandas(look, "file_path string, folder boolean, length long"), "listing")
+        files = found.where("not folder").select("file_path", "length")
+        out = files if out is None else out.unionAll(files)
+        level = found.where("folder").select("file_path")
+        if not level.limit(1).count():
+            return out
+
+
+def _ignore_files(rows: DataFrame) -> DataFrame:
+    return rows.where("length = -1").select("file_path")
+
+
+def markdown_paths(rows: DataFrame) -> DataFrame:
+    """(file_path) of the rows of listed() that end in .md, in lower case alone."""
+    return rows.where(F.col("file_path").rlike(r"[^/]\.md$") & (F.col("length") != -1)).select("file_path")
 
 
 def glob_regex(glob: str) -> str:
@@ -90,18 +128,11 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return one.join(last, "file_path", "left").select("file_path", F.coalesce(~F.col("keeps"), F.lit(False)).alias("ignored"))
 
 
-def asset_paths(spark: SparkSession, root: str, extensions=ASSET_EXTENSIONS, exclude=()) -> DataFrame:
-    """(file_path) of the assets by extension in any case, without what ignore files or the exclude globs name; a folder that can't be read raises."""
-    found = list(_walk(root, strict=True))
-    names = _dealt(spark, found).where(F.lower("file_path").rlike(r"\.(" + "|".join(extensions) + ")$") & ~excluded(F.col("file_path"), exclude))
-    rules = ignore_rules(read_texts(spark, root, [os.path.relpath(p, root).replace(os.sep, "/") for p in _ignore_files(root)]))
-    return ignored(names, rules).where(~F.col("ignored")).select("file_path")
-
-
-def _ignore_files(root: str):
-    for d, _, names in os.walk(root):
-        if ".gitignore" in names:
-            yield os.path.join(d, ".gitignore")
+def asset_paths(spark: SparkSession, root: str, rows: DataFrame | None = None, extensions=ASSET_EXTENSIONS, exclude=()) -> DataFrame:
+    """(file_path) of the assets by extension in any case, without what ignore files or the exclude globs name. rows: listed(strict=True) of root, if the caller has it; else a folder that can't be read raises."""
+    rows = listed(spark, root, strict=True) if rows is None else rows
+    names = rows.select("file_path").where(F.lower("file_path").rlike(r"[^/]\.(" + "|".join(extensions) + ")$") & ~excluded(F.col("file_path"), exclude))
+    return ignored(names, ignore_rules(read_texts(spark, root, _ignore_files(rows)))).where(~F.col("ignored")).select("file_path")
 
 
 def is_tracked(path):
@@ -131,14 +162,14 @@ def _dealt(spark: SparkSession, paths) -> DataFrame:
 def read_texts(spark: SparkSession, root: str, paths) -> DataFrame:
     """(file_path, text, error) of a list or a DataFrame of paths: strictly decoded UTF-8; files that can't be read or decoded have an error and no text."""
     ship(spark)
-    base = os.path.abspath(root)
 
     def run(batches):
+        where, base = file_system(root)
         for pdf in batches:
             texts, errors = [], []
             for p in pdf["file_path"]:
                 try:
-                    with open(os.path.join(base, p), "rb") as f:
+                    with where.open_input_stream(f"{base}/{p}") as f:
                         texts.append(f.read().decode("utf-8"))
                     errors.append(None)
                 except (OSError, UnicodeDecodeError) as e:
@@ -150,26 +181,28 @@ def read_texts(spark: SparkSession, root: str, paths) -> DataFrame:
 
 
 def read_bytes(spark: SparkSession, root: str, paths, max_bytes: int = MAX_ASSET_BYTES, content: bool = True) -> DataFrame:
-    """(file_path, length, sha256, content, error) of a list or a DataFrame of paths: a file that lies outside root or is longer than max_bytes isn't read. Without content that column is null."""
+    """(file_path, length, sha256, content, error) of a list or a DataFrame of paths: a file that lies outside root or is longer than max_bytes isn't opened. Without content that column is null."""
     ship(spark)
-    base = os.path.realpath(root)
 
     def run(batches):
         import hashlib
 
+        where, base = file_system(root)
+        local = where.type_name == "local"
+        top = os.path.realpath(base) if local else base
         for pdf in batches:
             rows = []
             for p in pdf["file_path"]:
-                full = os.path.realpath(os.path.join(base, p))
+                full = os.path.realpath(os.path.join(base, p)) if local else posixpath.normpath(f"{base}/{p}")
                 try:
-                    if os.path.commonpath([base, full]) != base:
+                    if posixpath.commonpath([top, full]) != top:
                         raise ValueError("outside the root")
-                    n = os.path.getsize(full)
-                    if n > max_bytes:
+                    n = where.get_file_info(full).size
+                    if n is not None and n > max_bytes:
                         raise ValueError(f"{n} bytes exceed {max_bytes}")
-                    with open(full, "rb") as f:
+                    with where.open_input_stream(full) as f:
                         data = f.read()
-                    rows.append((n, hashlib.sha256(data).hexdigest(), data if content else None, None))
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), data if content else None, None))
                 except (OSError, ValueError) as e:
                     rows.append((None, None, None, str(e)))
             yield pdf.assign(**{k: [r[i] for r in rows] for i, k in enumerate(("length", "sha256", "content", "error"))})

@@ -77,7 +77,8 @@ def apply_operations(ops: DataFrame, store, read, chunk_and_embed, metrics: Metr
     gone = ops.where("op = 'delete'").select(F.col("path").alias("file_path"), F.lit(True).alias("gone"))
     paths = gone.unionAll(got.where("error is null").select("file_path", F.lit(False).alias("gone")))
     before, version = store.read(), store.version
-    store.replace(fresh.observe(made, F.count("*").alias("chunks")), paths.observe(named, F.count_if("gone").alias("gone"), F.count_if(~F.col("gone")).alias("done")))
+    seconds = F.avg("request_seconds") if "request_seconds" in fresh.columns else F.lit(None).cast("double")
+    store.replace(fresh.observe(made, F.count("*").alias("chunks"), seconds.alias("seconds")), paths.observe(named, F.count_if("gone").alias("gone"), F.count_if(~F.col("gone")).alias("done")))
     n, deleted, chunks = named.get["done"], named.get["gone"], made.get["chunks"]
     if store.version != version:
         if index_root:
@@ -88,6 +89,8 @@ def apply_operations(ops: DataFrame, store, read, chunk_and_embed, metrics: Metr
         metrics.set("files_total", totals["total_files"])
     metrics.add("chunks_indexed_total", chunks)
     metrics.add("embedding_errors_total", read_.get["failed"])
+    if made.get["seconds"] is not None:
+        metrics.observe("embedding_latency_seconds", made.get["seconds"])
     if chunks:
         metrics.observe("indexing_throughput_chunks_per_second", chunks / max(time.monotonic() - began, 1e-9))
     for df in (ops, got, fresh):

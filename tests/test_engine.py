@@ -58,7 +58,9 @@ def test_discovery(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x")
     (tmp_path / ".gitignore").write_text("skip/\n")
-    assert sorted(files.markdown_files(str(tmp_path))) == ["_c.md", "a.md", "x/y/z.md"]
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert sorted(r.file_path for r in files.markdown_paths(files.listed(spark, root)).collect()) == ["_c.md", "a.md", "x/y/z.md"]
+    assert files.read_texts(spark, f"file://{tmp_path}", ["_c.md"]).first().text == "x" and files.listed(spark, str(tmp_path / "none")).count() == 0
     assets = lambda **more: sorted(r.file_path for r in files.asset_paths(spark, str(tmp_path), **more).collect())
     assert assets() == ["p.PNG", "x/r.jpg"] and assets(exclude=["x/**"]) == ["p.PNG"]
     (tmp_path / "x/.gitignore").write_text("# none\n\n*.jpg\n!r.jpg\n/s*\n")
@@ -241,6 +243,7 @@ def test_asset_cache_and_events(spark, tmp_path):
     held = {r[0] for r in store.read().select("file_path").distinct().collect()}
     assert got == (2, 0) and held == {"a.pdf", "n.md"} and calls() == 3
     assert metrics.values["file_events_processed_total"] == 5 and metrics.values["embedding_errors_total"] == 1 and metrics.values["files_total"] == 2
+    assert "embedding_latency_seconds_count 1\n" in metrics.render()
     found = s.bm25_indexed(spark, f"file://{tmp_path}/fts", "page", 5).join(store.read(), "chunk_id")
     assert {r.file_path for r in found.collect()} == {"a.pdf"}
     assert apply_batch(batch, store, reader(spark, str(root)), chunked) == (1, 0)
