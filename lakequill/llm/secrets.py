@@ -255,11 +255,13 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if "M" in text or SSH_BASE64 in text or PEM_BASE64[:3] in text:  # base64 of a DER sequence's tag, and of the OpenSSH magic
         for m in BASE64.finditer(text):
-            places = [m.start(), *(x.start() for x in KEY_START.finditer(text, m.start() + 1, m.end()))]
+            # the letter of an escaped line feed before a run isn't part of it
+            start = m.start() + (text[m.start()] in "rn" and text[m.start() - 1 : m.start()] == "\\")
+            places = [start, *(x.start() for x in KEY_START.finditer(text, start + 1, m.end()))]
             places = [x for x in places if text[x] in "Mb"]
             coded = PEM_BASE64[:3] in m[0]  # its other letters may stand on the next line
             if places or coded:
-                run = _Run(text, m.start(), m.end())
+                run = _Run(text, start, m.end())
                 found += run.keys(places)
                 found += run.files() if coded else ()
     if "30" in text or "6f" in text or "6F" in text:

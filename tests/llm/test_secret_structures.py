@@ -78,6 +78,15 @@ def test_keys_among_other_lines():
         assert structural(text) == exhaustive(text), text
 
 
+def test_keys_behind_escaped_line_feeds():
+    for key, kind in KEYS:
+        lines = lines_of(base64.b64encode(key).decode(), 48)
+        for sep in ("\\n", "\\r\\n", "\\n    "):
+            body = sep.join(lines)
+            for before in (sep, f"-----BEGIN X-----{sep}", "", "nothing "):
+                assert structural(f"{before}{body}{sep}.") == [(len(before), len(before) + len(body), kind)], (before, sep)
+
+
 def test_pem_files_in_base64_and_hex_keys():
     for key, kind in KEYS:
         pem = "-----BEGIN SOME KEY-----\n" + "\n".join(lines_of(base64.b64encode(key).decode(), 64)) + "\n-----END SOME KEY-----\n"
