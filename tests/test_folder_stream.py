@@ -87,3 +87,43 @@ def test_debounced_stream_over_batches(spark, tmp_path):
         assert time.time() - began >= 12  # its own quiet time, counted from the last event
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_a_watched_folder_keeps_table_and_index(spark, tmp_path):
+    from lakequill.operators.chunking import chunk_files, with_hash, with_id
+    from lakequill.operators.embed import embed_chunks, hash_embedder
+    from lakequill.operators.segments import SegmentIndex
+    from lakequill.operators.store import ChunkStore
+    from lakequill.streaming.apply import reader, watch
+
+    root = tmp_path / "notes"
+    root.mkdir()
+    (root / "a.md").write_text("# A\nkiln ash\n")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    chunked = lambda f: embed_chunks(with_id(with_hash(chunk_files(f))), hash_embedder(8), "m", 8)
+    events = folder_events(spark, str(root), str(tmp_path / "listings"))
+    q = watch(spark, events, store, reader(spark, str(root)), chunked, str(tmp_path / "ck"), index_root=f"file://{tmp_path}/fts", quiet_ms=500)
+
+    def until(wanted):
+        end = time.time() + 80
+        while time.time() < end:
+            assert q.exception() is None
+            if {r.file_path for r in store.read().select("file_path").distinct().collect()} == wanted:
+                return True
+            time.sleep(1)
+        return False
+
+    try:
+        assert until({"a.md"})
+        (root / "b.md").write_text("wool and ash\n")
+        os.remove(root / "a.md")
+        assert until({"b.md"})
+        end = time.time() + 30
+        while SegmentIndex(spark, f"file://{tmp_path}/fts").state()["source"] != store.version and time.time() < end:
+            time.sleep(0.5)
+        found = SegmentIndex(spark, f"file://{tmp_path}/fts").search("ash", 5).join(store.read(), "chunk_id").collect()
+        assert [r.file_path for r in found] == ["b.md"]
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
