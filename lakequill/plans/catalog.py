@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from lakequill.operators.embed import Embedded, embed_chunks, token_usage
 from lakequill.operators.metrics import bucket_counts
 from lakequill.plans import pages, stores, upkeep
 from lakequill.plans.index import run_counters
+from lakequill.runtime import ship
 from lakequill.schema import EMPTY_FRONTMATTER
 from lakequill.sources import files
 from lakequill.streaming.apply import last_operations
@@ -103,7 +105,15 @@ def w4_rerank_scores(spark, d):
 
 
 def t2_pool_size(spark, d):
-    return spark.createDataFrame([(n, search.SearchOptions(limit=n).pool()) for n in range(1, 31)], "n long, pool long")
+    """The pool and the rows fetched for searches whose limits are the parts' sizes; every third has a tag."""
+    ship(spark)
+
+    @F.pandas_udf("pool long, fetched long")
+    def sizes(limit, tagged):
+        options = [search.SearchOptions(limit=n, tag_filter="t" if t else None, rerank=len) for n, t in zip(limit, tagged)]
+        return pd.DataFrame({"pool": [o.pool() for o in options], "fetched": [o.fetch_limit() for o in options]})
+
+    return _t(spark, d, "part").select("p_partkey", sizes(F.col("p_size").cast("int"), F.col("p_partkey") % 3 == 0).alias("x")).select("p_partkey", "x.*")
 
 
 #: Texts that reach every break-point rule, made from orders: the test documents have plain lines alone.
@@ -413,7 +423,7 @@ SELECT o.file_path, line_start::BIGINT AS line_start, line_end::BIGINT AS line_e
 p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS pos FROM i WHERE vec_id % 2 = 0),
 r AS (SELECT i.vec_id, row_number() OVER (ORDER BY coalesce(pos, 1000000), ix) - 1 AS rank, count(*) OVER () AS n FROM i LEFT JOIN p ON p.vec_id = i.vec_id)
 SELECT vec_id, rank, round(1 - rank / greatest(n - 1, 1)::DOUBLE, 6) AS score FROM r""",
-        "t2_pool_size": "SELECT n, least(48, greatest(12, 4 * n))::BIGINT AS pool FROM range(1, 31) t(n)",
+        "t2_pool_size": "SELECT p_partkey, least(48, greatest(12, 4 * p_size))::BIGINT AS pool, least(48, greatest(12, 4 * p_size))::BIGINT * CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 1 END AS fetched FROM part",
         "c1_breakpoints": f"WITH {_POINTS} SELECT file_path, pos, CASE kind WHEN 'h1' THEN 100 WHEN 'h2' THEN 90 WHEN 'codeblock' THEN 80 WHEN 'hr' THEN 60 WHEN 'blank' THEN 20 WHEN 'list' THEN 5 WHEN 'numlist' THEN 5 ELSE 1 END::DOUBLE AS score, kind FROM p",
         "c4_fences": f"""WITH {_POINTS}, z AS (SELECT file_path, sum(strlen(line) + 1) - 1 AS size FROM l GROUP BY 1),
 q AS (SELECT file_path, pos, row_number() OVER (PARTITION BY file_path ORDER BY pos) AS n, lead(pos) OVER (PARTITION BY file_path ORDER BY pos) AS nxt FROM p WHERE kind = 'codeblock')
