@@ -14,7 +14,6 @@ from lakequill.operators.store import ChunkStore, change_status, model_guard
 from lakequill.operators.store import status as totals
 from lakequill.sources import files
 
-
 #: Of rows (file_path, status) of change_status(): what a run embeds, and what counts as a file rather than an asset.
 IS_STALE, IS_NOTE = "status in ('new', 'changed')", "file_path like '%.md'"
 
