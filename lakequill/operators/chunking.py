@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.operators.ordered import last_before
-from lakequill.runtime import ship
+from lakequill.runtime import BATCH_BYTES, ship, small_batches
 from lakequill.schema import CHUNK_BYTES, CHUNKED, DECAY, LOOK_BACK_BYTES, OVERLAP_BYTES
 
 #: What may follow a line feed, in order of precedence: (pattern, kind, score; a heading's score falls with its level).
@@ -176,18 +176,30 @@ def chunk_file(text: str) -> list[tuple]:
 
 def chunk_files(files: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
     """Chunks of every file, in the columns of CHUNKED. Null texts have none; a file whose text isn't valid is the reader's to reject."""
-    ship(files.sparkSession)
+    return _per_file(files.select(F.col(path).alias("file_path"), F.col(text).alias("text")), chunk_file, CHUNKED.removeprefix("file_path string, "))
+
 
-    def run(batches):
-        import pyarrow as pa
+def in_batches(batches, of, schema, most: int = BATCH_BYTES):
+    """Record batches (file_path, *) of schema for the batches (file_path, text): the rows that of(text) gives for each text that isn't null.
 
-        for batch in batches:
-            rows = [(p, *r) for p, t in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist()) if t is not None for r in chunk_file(t)]
-            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in CHUNKED.split(", ")])
+    One text is taken from its batch at a time, and rows go on once their strings have `most` characters.
+    """
+    import pyarrow as pa
 
-    return files.select(F.col(path).cast("string").alias("file_path"), F.col(text).cast("string").alias("text")).mapInArrow(run, CHUNKED)
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    rows, held = [], 0
+    for batch in batches:
+        for p, t in zip(batch.column("file_path"), batch.column("text")):
+            for r in of(t.as_py()) if t.is_valid else ():
+                rows.append((p.as_py(), *r))
+                held += 100 + sum(len(x) for x in r if isinstance(x, str))
+                if held >= most:
+                    yield made(rows)
+                    rows, held = [], 0
+    if rows:
+        yield made(rows)
 
 
 def _per_file(files: DataFrame, of, schema: str) -> DataFrame:
@@ -195,16 +207,10 @@ def _per_file(files: DataFrame, of, schema: str) -> DataFrame:
     import pyarrow as pa
 
     ship(files.sparkSession)
-    names = ["file_path", *(c.split()[0] for c in schema.split(", "))]
-    types = [pa.string(), *({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", "))]
-
-    def run(batches):
-        for batch in batches:
-            rows = [(p, *r) for p, t in zip(batch.column("file_path").to_pylist(), batch.column("text").to_pylist()) if t is not None for r in of(t)]
-            cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-    return files.select(F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, f"file_path string, {schema}")
+    small_batches(files.sparkSession)
+    fields = [c.split() for c in f"file_path string, {schema}".split(", ")]
+    kinds = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]) for name, kind in fields])
+    return files.select(F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(lambda batches: in_batches(batches, of, kinds), f"file_path string, {schema}")
 
 
 def fences_of(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.runtime import ship
+from lakequill.runtime import ship, small_batches
 from lakequill.schema import EMBED_BATCH
 
 RETRIES, FIRST_WAIT, MOST_WAIT = 5, 0.5, 30.0
@@ -67,25 +67,28 @@ def with_retry(embed, texts, wait=time.sleep):
 def embed_chunks(chunks: DataFrame, embed, model: str, width: int, batch: int = EMBED_BATCH) -> DataFrame:
     """chunks with embedding_model, vector, request_tokens and request_seconds; texts go to embed in requests of `batch` at most, in order. A request's tokens and seconds stand with its first row, so that sums count each request once, however often tasks are tried."""
     ship(chunks.sparkSession)
+    small_batches(chunks.sparkSession)
 
-    @F.pandas_udf("vector array<float>, tokens long, seconds double")
+    @F.arrow_udf("vector array<float>, tokens long, seconds double")
     def vectors(body):
-        import pandas as pd
+        import pyarrow as pa
 
-        out, used, took = [], [], []
+        out, used, took = [np.zeros((0, width), np.float32)], [], []
         for i in range(0, len(body), batch):
-            texts, began = body.iloc[i : i + batch].tolist(), time.monotonic()
+            texts, began = body.slice(i, batch).to_pylist(), time.monotonic()
             answer = with_retry(embed, texts)
             took += [time.monotonic() - began] + [None] * (len(texts) - 1)
             got = vectors_of(answer)
             if len(got) != len(texts) or any(len(v) != width for v in got):
                 raise EmbeddingError(f"not {len(texts)} vectors of {width} components")
-            out += got
+            out.append(np.array(got, np.float32).reshape(len(texts), width))
             used += [getattr(answer, "tokens", 0)] + [0] * (len(texts) - 1)
-        return pd.DataFrame({"vector": pd.Series(out, dtype=object), "tokens": pd.Series(used, dtype="int64"), "seconds": pd.Series(took, dtype="float64")})
+        flat = pa.array(np.concatenate(out).ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(body) + 1, dtype=np.int32) * width), flat)
+        return pa.StructArray.from_arrays([lists, pa.array(used, pa.int64()), pa.array(took, pa.float64())], ["vector", "tokens", "seconds"])
 
     own = chunks.withColumn("embedding_model", F.lit(model)).withColumn("_e", vectors("body"))
-    return own.withColumn("vector", F.col("_e.vector")).withColumn("request_tokens", F.col("_e.tokens")).withColumn("request_seconds", F.nanvl("_e.seconds", F.lit(None).cast("double"))).drop("_e")
+    return own.withColumn("vector", F.col("_e.vector")).withColumn("request_tokens", F.col("_e.tokens")).withColumn("request_seconds", F.col("_e.seconds")).drop("_e")
 
 
 def token_usage(embedded: DataFrame) -> DataFrame:

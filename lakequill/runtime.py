@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
 _OWN: list[str] = []
+#: Bytes of texts that one Arrow batch hands to Python, and that a worker's batch of results has.
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +29,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have BATCH_BYTES at most, or one row, where the user hasn't set their size. By Spark's own 10,000 rows or 64 MB a worker's memory grows with the input up to several hundred MB."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master without it (tests), an own one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
