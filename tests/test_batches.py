@@ -21,3 +21,22 @@ def test_embedded_values_and_types(spark):
     got = embed_chunks(rows, lambda texts: [[len(t), 0.5] for t in texts], "m", 2)
     assert dict(got.dtypes)["vector"] == "array<float>" and sorted(map(tuple, got.select("id", "vector", "request_tokens").collect())) == [(1, [1.0, 0.5], 0), (2, [3.0, 0.5], 0)]
     assert embed_chunks(rows.where("false"), lambda texts: [[0.0, 0.0]] * len(texts), "m", 2).count() == 0
+
+
+def test_chunks_leave_as_they_are_made():
+    texts = [f"# {i}\n" + "some words of a line\n" * 1000 for i in range(400)]
+    taken = []
+
+    def of(text):
+        taken.append(text)
+        return chunking.chunk_file(text)
+
+    schema = pa.schema([("file_path", pa.string()), ("crumb", pa.string()), ("level", pa.int32()), ("body", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("fm", pa.string()), ("s", pa.int64()), ("e", pa.int64())])
+    given = pa.RecordBatch.from_pydict({"file_path": [f"{i}.md" for i in range(401)], "text": [*texts, None]})
+    got = chunking.in_batches(iter([given]), of, schema)
+    first = next(got)
+    assert len(taken) < 150 and first.nbytes < 2 * BATCH_BYTES
+    rest = list(got)
+    assert max(b.nbytes for b in rest) < 2 * BATCH_BYTES
+    whole = [r for b in (first, *rest) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in whole] == [(f"{i}.md", *r) for i, t in enumerate(texts) for r in chunking.chunk_file(t)]
