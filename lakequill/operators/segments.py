@@ -36,10 +36,23 @@ def query_terms(query: str) -> list[str]:
     return sorted(out)
 
 
+def n_tokens(text):
+    """How many tokens() a text has, without making them."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"))
+
+
+def counted(words):
+    """The distinct strings of an array with their counts, as structs (term, tf): runs of equal ones in the sorted array, from where each starts to where the next does. Lambdas bind what would otherwise be worked out anew for each element."""
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w, at: F.transform(at, lambda i, j: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(w)) - i).cast("long").alias("tf")))
+    got = F.transform(F.array(F.sort_array(words)), lambda w: F.transform(F.array(starts(w)), lambda at: runs(w, at))[0])[0]
+    return F.when(F.size(words) > 0, got)
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "body") -> DataFrame:
-    """(key, term, tf, dl): the statistics that full-text search reads."""
-    words = chunks.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return words.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(key, term, tf, dl): the statistics that full-text search reads. Words are counted within their row, so nothing is shuffled; no two rows share a key."""
+    words = chunks.select(key, tokens(F.col(text)).alias("w"))
+    return words.select(key, F.size("w").alias("dl"), F.explode(counted(F.col("w"))).alias("x")).select(key, "x.term", "x.tf", "dl")
 
 
 def weight(tf, dl, df, n, avgdl):
@@ -131,7 +144,7 @@ class SegmentIndex:
         """
         old = self.state()
         version, name = old["version"] + 1, f"segment-{old['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        lengths = added.select(self.key, F.size(tokens(F.col(text))).alias("dl"))
+        lengths = added.select(self.key, n_tokens(F.col(text)).alias("dl"))
         self._write(name, postings(added, self.key, text), lengths)
         new = self._table(name, "lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         n, words, deletes = old["n"] + new["n"], old["words"] + new["words"], list(old["deletes"])
@@ -157,7 +170,7 @@ class SegmentIndex:
         """One segment of these rows in place of all; readers of the state before keep theirs until the next change."""
         old = self.state()
         name = f"segment-{old['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        self._write(name, postings(rows, self.key, text), rows.select(self.key, F.size(tokens(F.col(text))).alias("dl")))
+        self._write(name, postings(rows, self.key, text), rows.select(self.key, n_tokens(F.col(text)).alias("dl")))
         new = self._table(name, "lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         segments = [{"id": name, "version": old["version"] + 1, "n": new["n"], "words": new["words"]}] if new["n"] else []
         state = {"version": old["version"] + 1, "source": source, "n": new["n"], "words": new["words"], "segments": segments, "deletes": []}
