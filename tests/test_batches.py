@@ -40,3 +40,10 @@ def test_chunks_leave_as_they_are_made():
     assert max(b.nbytes for b in rest) < 2 * BATCH_BYTES
     whole = [r for b in (first, *rest) for r in b.to_pylist()]
     assert [tuple(r.values()) for r in whole] == [(f"{i}.md", *r) for i, t in enumerate(texts) for r in chunking.chunk_file(t)]
+
+
+def test_headings_leave_as_they_are_made():
+    given = pa.RecordBatch.from_pydict({"file_path": [f"{i}.md" for i in range(200)], "text": ["# One of some length\n" * 500] * 200})
+    schema = pa.schema([("file_path", pa.string()), ("pos", pa.int64()), ("heading_breadcrumb", pa.string()), ("heading_level", pa.int32())])
+    got = list(chunking.in_batches(iter([given]), chunking.headings, schema))
+    assert len(got) > 3 and sum(map(len, got)) == 100_000 and max(b.nbytes for b in got) < 2 * BATCH_BYTES
