@@ -1,6 +1,6 @@
 """A full-text index of immutable segments: what a change writes is in step with the change.
 
-A segment holds the postings of the rows that one change added, dealt to folders by term, and each row's length. Rows that
+A segment holds the postings of the rows that one change added, dealt to folders by term, and each row's length, in folders by key. Rows that
 go are named in a delete vector, which hides them in older segments only, so a row may come again under the same
 key. Row and token counts are sums that changes add to and take from. Segments of like size are merged once FAN of them have
 come together, so a row is rewritten a logarithm of times, and what is deleted leaves with the merge.
@@ -12,9 +12,12 @@ import json
 import math
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakequill.runtime import ship, small_batches
+
 TERM_BUCKETS, KEY_BUCKETS, FAN = 64, 16, 4
 K1, B = 1.2, 0.75
 
@@ -55,6 +58,31 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "body") -> Da
     return words.select(key, F.size("w").alias("dl"), F.explode(counted(F.col("w"))).alias("x")).select(key, "x.term", "x.tf", "dl")
 
 
+def _count(batches):
+    """Batches (key, term, tf, dl) of batches (key, words): equal words of a row are found by sorting numbers, over a batch at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        keys, words = batch.columns
+        dl = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = words.flatten().dictionary_encode()
+        n, own = max(1, len(coded.dictionary)), np.arange(len(dl))
+        pairs, tf = np.unique(np.repeat(own, dl) * n + coded.indices.to_numpy(), return_counts=True)
+        row = np.concatenate([pairs // n, own])
+        term = pa.concat_arrays([coded.dictionary.take(pa.array(pairs % n)).cast(pa.string()), pa.nulls(len(own), pa.string())])
+        tf = np.concatenate([tf, np.zeros(len(own), np.int64)])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), term, pa.array(tf, pa.int64()), pa.array(dl[row])], [batch.schema.names[0], "term", "tf", "dl"])
+
+
+def counts(rows: DataFrame, key: str = "chunk_id", text: str = "body") -> DataFrame:
+    """The postings of rows, and for each row one without a term that has its length: one pass over the texts gives both."""
+    ship(rows.sparkSession)
+    small_batches(rows.sparkSession)
+    words = rows.select(key, tokens(F.col(text)).alias("w"))
+    return words.mapInArrow(_count, f"`{key}` {rows.schema[key].dataType.simpleString()}, term string, tf long, dl int")
+
+
 def weight(tf, dl, df, n, avgdl):
     """What a term that stands tf times in a row of dl words gives to its score: BM25 with k1 = 1.2 and b = 0.75."""
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -102,17 +130,23 @@ class SegmentIndex:
             self._fs.delete(draft, False)
             raise RuntimeError(f"version {state['version']} was published by another writer")
 
-    def _table(self, name: str, kind: str) -> DataFrame:
-        """A written table, empty where nothing was."""
-        columns = {"postings": "term string, tf long, dl int, bucket int", "lengths": "dl int, bucket int", "": "dl int"}[kind]
-        return self.spark.read.schema(f"`{self.key}` {self.key_type}, {columns}").parquet(f"{self.root}/{name}/{kind}".rstrip("/"))
+    def _table(self, name: str, kind: str, buckets=None) -> DataFrame:
+        """A written table of kind postings, lengths, or "" (what a change deleted), or some of its buckets; empty where nothing was."""
+        if not kind:
+            return self.spark.read.schema(f"`{self.key}` {self.key_type}, dl int").parquet(f"{self.root}/{name}")
+        wanted = range(TERM_BUCKETS) if kind == "postings" else range(TERM_BUCKETS, TERM_BUCKETS + KEY_BUCKETS)
+        wanted = {f"bucket={b}" for b in wanted if buckets is None or b in buckets}
+        paths = sorted(s.getPath().toString() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName() in wanted)
+        columns = {self.key: self.key_type, "term": "string", "hash": "long", "tf": "long", "dl": "int"}
+        if not paths:
+            return self.spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in columns.items()))
+        return self.spark.read.schema(", ".join(f"`{c}` {t}" for c, t in columns.items())).parquet(*paths)
 
     def _read(self, kind: str, segments: list[dict], buckets=None) -> DataFrame:
         """Rows of a kind of table of some segments, with seg, the version that made the segment."""
         got = None
         for s in segments:
-            df = self._table(s["id"], kind)
-            df = (df if buckets is None else df.where(F.col("bucket").isin(list(buckets)))).drop("bucket").withColumn("seg", F.lit(s["version"]))
+            df = self._table(s["id"], kind, buckets).withColumn("seg", F.lit(s["version"]))
             got = df if got is None else got.unionByName(df)
         return got
 
@@ -131,10 +165,11 @@ class SegmentIndex:
         g = gone.withColumnRenamed(self.key, "_k")
         return rows.join(g, (F.col(self.key) == F.col("_k")) & (F.col("seg") < F.col("before")), "left_anti")
 
-    def _write(self, name: str, rows: DataFrame, lengths: DataFrame) -> None:
-        dealt = rows.select(self.key, "term", "tf", "dl").withColumn("bucket", _bucket("term", TERM_BUCKETS))
-        dealt.repartition("bucket", _bucket(self.key, 4)).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
-        lengths.select(self.key, "dl").withColumn("bucket", _bucket(self.key, KEY_BUCKETS)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/lengths")
+    def _write(self, name: str, rows: DataFrame) -> None:
+        """Write what counts() gives. Rows of a bucket lie by the hash of their term, a number by which they are sorted without comparing them, and which a search skips pages by."""
+        bucket = F.when(F.col("term").isNull(), TERM_BUCKETS + _bucket(self.key, KEY_BUCKETS)).otherwise(_bucket("term", TERM_BUCKETS))
+        dealt = rows.select(self.key, "term", F.xxhash64("term").alias("hash"), "tf", "dl", bucket.alias("bucket"))
+        dealt.repartition("bucket", _bucket(self.key, 4)).sortWithinPartitions("hash").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
 
     def apply(self, added: DataFrame, removed: DataFrame | None = None, text: str = "body", source=None) -> dict:
         """Add rows (key, text) and delete those whose keys removed (key) holds, in one published step; the new state.
@@ -144,14 +179,13 @@ class SegmentIndex:
         """
         old = self.state()
         version, name = old["version"] + 1, f"segment-{old['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        lengths = added.select(self.key, n_tokens(F.col(text)).alias("dl"))
-        self._write(name, postings(added, self.key, text), lengths)
+        self._write(name, counts(added, self.key, text))
         new = self._table(name, "lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         n, words, deletes = old["n"] + new["n"], old["words"] + new["words"], list(old["deletes"])
         if old["segments"]:
             keys = self._table(name, "lengths").select(self.key)
             keys = (keys if removed is None else keys.unionByName(removed.select(self.key))).distinct()
-            touched = {r[0] for r in keys.select(_bucket(self.key, KEY_BUCKETS)).distinct().collect()}
+            touched = {TERM_BUCKETS + r[0] for r in keys.select(_bucket(self.key, KEY_BUCKETS)).distinct().collect()}
             held = self._live(self._read("lengths", old["segments"], touched), old).join(keys, self.key, "left_semi")
             vector = f"deletes-{version:012d}-{uuid.uuid4().hex[:8]}"
             held.select(self.key, "dl").write.parquet(f"{self.root}/{vector}")
@@ -170,7 +204,7 @@ class SegmentIndex:
         """One segment of these rows in place of all; readers of the state before keep theirs until the next change."""
         old = self.state()
         name = f"segment-{old['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        self._write(name, postings(rows, self.key, text), rows.select(self.key, n_tokens(F.col(text)).alias("dl")))
+        self._write(name, counts(rows, self.key, text))
         new = self._table(name, "lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         segments = [{"id": name, "version": old["version"] + 1, "n": new["n"], "words": new["words"]}] if new["n"] else []
         state = {"version": old["version"] + 1, "source": source, "n": new["n"], "words": new["words"], "segments": segments, "deletes": []}
@@ -189,7 +223,7 @@ class SegmentIndex:
             version = state["version"] + 1
             name = f"segment-{version:012d}-{uuid.uuid4().hex[:8]}"
             newest = max(s["version"] for s in full)  # deletes up to it have been applied, later ones still hide its rows
-            self._write(name, self._live(self._read("postings", full), state), self._live(self._read("lengths", full), state))
+            self._write(name, self._live(self._read("postings", full).unionByName(self._read("lengths", full)), state))
             got = self._table(name, "lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
             rest = [s for s in state["segments"] if s not in full]
             segments = [*rest, *([{"id": name, "version": newest, "n": got["n"], "words": got["words"]}] if got["n"] else [])]
@@ -218,8 +252,10 @@ class SegmentIndex:
         terms, state = query_terms(query), self.state()
         if not terms or not state["n"]:
             return self.spark.createDataFrame([], f"`{self.key}` {self.key_type}, fts_raw double")
-        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term", TERM_BUCKETS)).distinct().collect()  # a row for each term
-        own = self._live(self._read("postings", state["segments"], [r[0] for r in wanted]).where(F.col("term").isin(terms)), state)
+        asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
+        wanted = asked.select(_bucket("term", TERM_BUCKETS), F.xxhash64("term")).collect()  # a row for each term
+        found = self._read("postings", state["segments"], {r[0] for r in wanted}).where(F.col("hash").isin([r[1] for r in wanted]) & F.col("term").isin(terms))
+        own = self._live(found, state)
         held = own.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
         part = weight(F.col("tf"), F.col("dl"), F.col("df"), F.lit(state["n"]), F.lit(state["words"] / state["n"]))
         scored = own.join(F.broadcast(held), "term").select(self.key, part.alias("s"))
