@@ -47,3 +47,11 @@ def test_headings_leave_as_they_are_made():
     schema = pa.schema([("file_path", pa.string()), ("pos", pa.int64()), ("heading_breadcrumb", pa.string()), ("heading_level", pa.int32())])
     got = list(chunking.in_batches(iter([given]), chunking.headings, schema))
     assert len(got) > 3 and sum(map(len, got)) == 100_000 and max(b.nbytes for b in got) < 2 * BATCH_BYTES
+
+
+def test_chunker_gets_small_batches(spark):
+    session = spark.newSession()
+    files = session.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("file_path"), F.repeat(F.lit("x"), 4000).alias("text"))
+    assert chunking.chunk_files(files).count() == 6000
+    given = files.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert given.agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
