@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lakequill.operators import chunking
 from lakequill.operators.embed import embed_chunks
+from lakequill.operators.store import ChunkStore
 from lakequill.runtime import BATCH_BYTES
 
 
@@ -55,3 +56,15 @@ def test_chunker_gets_small_batches(spark):
     assert chunking.chunk_files(files).count() == 6000
     given = files.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
     assert given.agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+
+
+def test_appending_embeds_in_small_batches(spark, tmp_path):
+    """A vector is the text of its request, which ends with its Arrow batch."""
+    session = spark.newSession()
+    files = session.range(0, 3000, 1, 1).select(F.concat("id", F.lit(".md")).alias("file_path"), F.repeat(F.lit("x"), 3000).alias("text"))
+    store = ChunkStore(session, f"file://{tmp_path}/store")
+    chunks = chunking.with_id(chunking.with_hash(chunking.chunk_files(files)))
+    store.append(embed_chunks(chunks, lambda texts: [[float(sum(map(len, texts)))]] * len(texts), "sizes", 1, batch=10**9))
+    store.delete_files(files.where("id % 4 = 0").select("file_path"))
+    n, most = store.read().agg(F.count("*"), F.max(F.col("vector")[0])).first()
+    assert n == 2250 and most <= BATCH_BYTES + 3000
